@@ -7,18 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cdsloom.llm import packing, token_store
+from cdsloom.llm import near_dedup, packing, token_store
 from cdsloom.llm.common import table
 from cdsloom.llm.encoders import vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh
+  FROM w
+), n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+u AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT p.a, p.b FROM p JOIN n na ON p.a = na.doc_id JOIN n nb ON p.b = nb.doc_id WHERE 100 * p.c >= 80 * (na.n + nb.n - p.c)
+), r AS (
+  SELECT doc_id, doc_id AS to_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM r JOIN l ON r.to_id = l.a
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.to_id) AS component_id, n.doc_id = min(r.to_id) AS kept
+FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
 def stored(docs: DataFrame) -> DataFrame:
     ids = token_store.round_trip(docs, vocabulary=vocabulary("word_bpe_49k.json"), end=1)
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.linked(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(table(spark, sf_dir, "documents"))
 
@@ -29,8 +57,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_store, op4_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_store, op4_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_near_dedup": OP1_SQL}
