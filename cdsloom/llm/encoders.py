@@ -1,4 +1,4 @@
-"""Token ids of whole texts from the tokenizers library, each distinct word encoded once.
+"""Token ids of whole texts from the tokenizers library, each distinct word of a slice encoded once.
 
 The vocabulary with word ends drops white space and never merges across it, so
 a text's ids are the ids of its white-space separated words in turn.  Words are
@@ -8,18 +8,26 @@ the missing ones go through the library, many at a time.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
 from cdsloom.llm.common import Words, csr, no_workers_pool
 
-#: Distinct words that a worker remembers; a fuller cache starts afresh.
-CACHED_WORDS = 300_000
-#: Longer words aren't remembered.
-CACHED_CHARS = 64
-_JOINED_CHARS = 1 << 19
+#: Distinct words in each of the two generations that a worker remembers; longer words aren't remembered.
+CACHED_WORDS, CACHED_CHARS = 150_000, 64
+_JOINED_CHARS = 1 << 17
+
+#: Bytes of text to encode at once.
+SLICE_BYTES = 6 << 20
 
-_loaded: dict[str, WordEncoder] = {}
+#: A word of Latin-1 letters and the ASCII punctuation after it.  Such letters
+#: are composed already and have lower case one by one, the two parts are
+#: always tokenized apart, and no special token looks like that.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+_loaded: dict[tuple[str, bool], WordEncoder] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -28,59 +36,140 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _joined(words: list[str]):
+    """Groups of words of a bounded length in all."""
+    group, chars = [], 0
+    for w in words:
+        group.append(w)
+        chars += len(w) + 1
+        if chars >= _JOINED_CHARS:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
+
+
+class Recent:
+    """Remembers what was used lately: two generations of bounded size."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get_all(self, words: list[str]) -> list:
+        found = list(map(self.young.get, words))
+        for k in [k for k, x in enumerate(found) if x is None] if self.old else ():
+            if (x := self.old.get(words[k])) is not None:
+                found[k] = x
+                self.put(words[k], x)
+        return found
+
+    def put(self, word: str, value) -> None:
+        if len(word) <= CACHED_CHARS:
+            if len(self.young) >= CACHED_WORDS:
+                self.young, self.old = {}, self.young
+            self.young[word] = value
+
+
 class WordEncoder:
-    """Ids below 65536 of texts, for a vocabulary that drops white space."""
+    """Ids below 65536 of texts, for a vocabulary with word ends that drops white space.
+
+    With ``spans``, each word's ids come with the code points that they stand for.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spans: bool = False):
         no_workers_pool()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError(f"{path}: ids of more than 16 bits")
-        #: word -> (ids, spans): little-endian 16-bit ids; 32-bit pairs of the code points each id comes from.
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.plain = Tokenizer.from_file(path)
+        self.plain.no_truncation()
+        self.plain.no_padding()
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends_word = np.zeros(1 << 16, bool)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends_word[k] = token.endswith(suffix)
+        self.spans = spans
+        self.cache = Recent()
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        if path not in _loaded:
-            _loaded[path] = cls(path)
-        return _loaded[path]
-
-    def _encode(self, words: list[str], into: dict[str, tuple[bytes, bytes]]) -> None:
-        group, chars = [], 0
-        for k, w in enumerate(words):
-            group.append(w)
-            chars += len(w) + 1
-            if chars >= _JOINED_CHARS or k == len(words) - 1:
-                e = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
-                ids = np.array(e.ids, "<u2")
-                spans = np.array(e.offsets, "<i4").reshape(-1, 2)
-                starts = np.cumsum([0, *(len(w) + 1 for w in group)])
-                cut = np.searchsorted(spans[:, 0], starts)
-                for w, a, b, at in zip(group, cut, cut[1:], starts, strict=False):
-                    into[w] = ids[a:b].tobytes(), (spans[a:b] - at).astype("<i4").tobytes()
-                group, chars = [], 0
-
-    def of_words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids, spans) of each word."""
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        missing = [w for w in words if w not in self.cache]
+    def of(cls, path: str, spans: bool = False) -> WordEncoder:
+        if (path, spans) not in _loaded:
+            _loaded[path, spans] = cls(path, spans)
+        return _loaded[path, spans]
+
+    @staticmethod
+    def forget() -> None:
+        """Free the workers' encoders, for a stage that doesn't need them."""
+        _loaded.clear()
+
+    def _encode_plain(self, words: list[str]):
+        """(word, ids) of words in lower case that are one piece each."""
+        for group in _joined(words):
+            ids = np.array(self.plain.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u2")
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 2).tolist()
+            if len(ends) != len(group):
+                raise ValueError("words and word ends differ")
+            data, at = ids.tobytes(), 0
+            for w, end in zip(group, ends, strict=True):
+                yield w, data[at:end]
+                at = end
+
+    def _encode_any(self, words: list[str]):
+        """(word, ids), or (word, (ids, spans)) if spans are wanted."""
+        for group in _joined(words):
+            e = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
+            ids = np.array(e.ids, "<u2").tobytes()
+            spans = np.array(e.offsets, "<i4").reshape(-1, 2)
+            starts = np.cumsum([0, *(len(w) + 1 for w in group)])
+            cut = np.searchsorted(spans[:, 0], starts)
+            if self.spans:
+                spans = (spans - np.repeat(starts[:-1], np.diff(cut))[:, None]).astype("<i4").tobytes()
+            cut = cut.tolist()
+            for w, a, b in zip(group, cut, cut[1:], strict=False):
+                yield w, (ids[2 * a : 2 * b], spans[8 * a : 8 * b]) if self.spans else ids[2 * a : 2 * b]
+
+    def of_words(self, words: list[str]) -> list:
+        """What each word gives: ids in little-endian 16 bits, with spans a pair of these and 32-bit pairs."""
+        found = self.cache.get_all(words)
+        missing = [k for k, x in enumerate(found) if x is None]
         if not missing:
-            return [self.cache[w] for w in words]
-        fresh: dict[str, tuple[bytes, bytes]] = {}
-        self._encode(missing, fresh)
-        found = [fresh.get(w) or self.cache[w] for w in words]
-        self.cache |= {w: v for w, v in fresh.items() if len(w) <= CACHED_CHARS}
+            return found
+        split: list[tuple[int, str, str]] = []
+        others = missing
+        if not self.spans:
+            others = []
+            for k in missing:
+                if m := _PLAIN(words[k]):
+                    split.append((k, m[1].lower(), m[2]))
+                else:
+                    others.append(k)
+        names = list({w for _, core, tail in split for w in (core, tail)} - {""})
+        parts = dict(zip(names, self.cache.get_all(names), strict=True))
+        known = {w for w, ids in parts.items() if ids is not None}
+        for w, ids in self._encode_plain([w for w in names if w not in known]):
+            parts[w] = ids
+            self.cache.put(w, ids)
+        parts[""] = b""
+        for k, core, tail in split:
+            found[k] = parts[core] + parts[tail]
+            if core in known:
+                self.cache.put(words[k], found[k])
+        for k, (w, got) in zip(others, self._encode_any([words[k] for k in others]), strict=True):
+            found[k] = got
+            self.cache.put(w, got)
         return found
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and where each text's ids start (one more entry than texts)."""
         w = Words(text)
-        ids = [x for x, _ in self.of_words(w.uniq.to_pylist())]
+        ids = self.of_words(w.uniq.to_pylist())
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
         places, at = csr(lens, w.idx)
         return np.frombuffer(b"".join(ids), "<u2")[places], at[w.ptr]

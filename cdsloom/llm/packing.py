@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cdsloom.llm.common import binary_column, slices, texts
-from cdsloom.llm.encoders import WordEncoder, with_end
+from cdsloom.llm.encoders import SLICE_BYTES, WordEncoder, with_end
 
 SIZE, GROUP_DOCS = 2048, 4096
 
@@ -116,7 +116,7 @@ def packed(docs: DataFrame, *, vocabulary: str, end: int = 1, size: int = SIZE,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(vocabulary)
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE_BYTES):
             ids, ptr = with_end(*encoder.encode(b.column("text")), end)
             yield pa.record_batch([b.column("deal"), b.column("doc_id"), binary_column(ids, ptr, 2)], ["deal", "doc_id", "ids"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdsloom.llm.common import binary_column, drop, new_path, slices, stash, texts
-from cdsloom.llm.encoders import WordEncoder, with_end
+from cdsloom.llm.encoders import SLICE_BYTES, WordEncoder, with_end
 
 #: Bits of the longest code word; the decoding table has 2 to this power entries.
 MAX_BITS = 18
@@ -126,7 +126,7 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE_BYTES):
             ids, ptr = with_end(*encoder.encode(b.column("text")), end)
             yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(ptr)), binary_column(ids, ptr, 2)], ["doc_id", "n", "ids"])
 
@@ -166,6 +166,7 @@ def write(docs: DataFrame, path: str, *, vocabulary: str, end: int = 1) -> None:
     spark.createDataFrame(book, "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        WordEncoder.forget()
         block, first, held, names, sizes = 0, 0, [], [], []
         schema = pa.schema([("block", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
 
