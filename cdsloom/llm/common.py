@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker handles at once; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -151,3 +152,35 @@ def no_workers_pool() -> None:
 def texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text) of whole texts, nulls as empty ones; other columns stay behind."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def extended(docs: DataFrame, fields: str, make, *, text: str = "text") -> DataFrame:
+    """``docs`` with the columns ``fields`` (DDL) added, computed from whole texts in Arrow batches.
+
+    ``make()`` runs once in each task and returns a function from an array of
+    texts (nulls filled with empty ones) and the batch to the new columns.
+    """
+    names = docs.columns
+    added = T.StructType.fromDDL(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in slices(batches, text):
+            new = f(pc.fill_null(b.column(text), ""), b)
+            yield pa.record_batch([*b.columns, *new], [*names, *added.names])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+
+
+def picked_labels(labels: DataFrame, column: str, value: int, most: int, *, where: str = "true") -> np.ndarray:
+    """At most ``most`` doc_ids whose label ``column`` is ``value``, the same ones in every run: those of least hash."""
+    one = labels.where("doc_id is not null").where(where).groupBy("doc_id").agg(F.max(column).alias("label")).where(F.col("label") == value)
+    rows = one.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most).select("doc_id").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64))
+
+
+def translated(text: pa.Array, table: bytes) -> pa.Array:
+    """``text`` (without nulls) with its bytes replaced by ``table``, which leaves those from 0x80 on as they are."""
+    at = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, 4 * text.offset)
+    data = bytes(memoryview(text.buffers()[2] or b"")[at[0] : at[-1]]).translate(table)
+    return pa.Array.from_buffers(pa.string(), len(text), [None, pa.py_buffer(at - at[0]), pa.py_buffer(data)])
