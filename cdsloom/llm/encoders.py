@@ -64,6 +64,11 @@ class Recent:
                 self.put(words[k], x)
         return found
 
+    def put_all(self, words: list[str], values: list) -> None:
+        if len(self.young) >= CACHED_WORDS:
+            self.young, self.old = {}, self.young
+        self.young.update((w, x) for w, x in zip(words, values, strict=True) if len(w) <= CACHED_CHARS)
+
     def put(self, word: str, value) -> None:
         if len(word) <= CACHED_CHARS:
             if len(self.young) >= CACHED_WORDS:
