@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cdsloom.llm import near_dedup, packing, token_store
+from cdsloom.llm import byte_bpe, html_text, licenses, near_dedup, packing, quality, token_counts, token_store, topk, toxicity
 from cdsloom.llm.common import table
 from cdsloom.llm.encoders import vocabulary
 
@@ -37,6 +40,20 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.to_id) AS component_id, n.doc_id = min
 FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY n.doc_id, n.n
 """
 
+OP8_SQL = r"""
+WITH e AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, embedding AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL), true)
+), p AS (
+  SELECT q.id AS query_id, b.id AS vec_id,
+    CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.v[i] >= 0) <> (b.v[i] >= 0) THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+  FROM e q JOIN e b ON q.id <> b.id WHERE q.id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS BIGINT) AS rank, vec_id, distance FROM p
+)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
 
 def stored(docs: DataFrame) -> DataFrame:
     ids = token_store.round_trip(docs, vocabulary=vocabulary("word_bpe_49k.json"), end=1)
@@ -51,14 +68,56 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(table(spark, sf_dir, "documents"))
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the decimal ids, joined by commas, and of the decoded text."""
+    decimal = [str(k) for k in range(1 << 16)]
+    for b in batches:
+        ids = [hashlib.sha256(",".join(map(decimal.__getitem__, np.frombuffer(x.as_buffer(), "<u2").tolist())).encode()).hexdigest() for x in b.column("ids")]
+        text = [hashlib.sha256(x.as_buffer()).hexdigest() for x in b.column("decoded")]
+        yield pa.record_batch([b.column("doc_id"), b.column("n_tokens"), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def recoded(docs: DataFrame) -> DataFrame:
+    return byte_bpe.round_trip(docs, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", vocabulary=vocabulary("byte_bpe_50k.json"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recoded(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(table(spark, sf_dir, "documents"), vocabulary=vocabulary("word_bpe_49k.json"), end=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.attributed(table(spark, sf_dir, "documents"), vocabulary=vocabulary("byte_bpe_50k.json"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(topk.sign_codes(table(spark, sf_dir, "embeddings")), k=10, every=20)
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_store, op4_packing)}
+    all_ = (op1_near_dedup, op2_token_store, op3_byte_bpe, op4_packing, op5_quality, op6_token_counts, op7_toxicity, op8_hamming_topk, op9_html_text, op10_licenses)
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op8_hamming_topk": OP8_SQL}

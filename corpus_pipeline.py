@@ -7,20 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cdsloom.llm import packing
+from cdsloom.llm import near_dedup, packing, quality, toxicity
 from cdsloom.llm.common import stash, table
 from cdsloom.llm.encoders import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go (operator 7)."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, score="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go (operator 5)."""
+    ratio = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judged(docs, ratio, prefix="_").where("_kept").select(*docs.columns)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (operator 1): five words, similarity 0.8.
+
+    Rows that repeat a doc_id and its text count once.
+    """
+    kept = near_dedup.linked(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens (operator 4)."""
     pieces = packing.packed(docs, vocabulary=vocabulary("word_bpe_49k.json"), end=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("toxicity", toxic), ("quality", rules), ("near_dedup", dedup), ("packing", pack)]
 
 #: SQL can't express the stages; the tests compare them with brute force.
 ORACLE_SQL: str | None = None
