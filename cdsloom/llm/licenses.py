@@ -185,7 +185,7 @@ class Scanner:
             # Runs of neighbouring triples of one text.
             cut = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])]) if len(at) else at
             found: dict[int, dict[int, list]] = {}
-            for a, b in zip(cut, np.r_[cut[1:], len(at)], strict=True):
+            for a, b in zip(cut, np.r_[cut[1:], len(at)], strict=False):
                 r = int(row[at[a]])
                 start, end = int(at[a]), int(at[b - 1]) + 3
                 for d, n_, state in self.automaton.matches(seq[start:end].tolist(), start - int(w.ptr[r])):
