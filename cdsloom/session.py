@@ -76,7 +76,7 @@ class Session:
             from cdsloom.operators import metrics as M
 
             self._aliases = G.alias_map(M.classified(M.metrics(self.sources)))
-        row = self._aliases.where(self._aliases.alias == name).first()
+        row = self._aliases.where(self._aliases["alias"] == name).first()
         return row["ddlname"] if row else None
 
     def read(self, name: str, parameters: dict | None = None) -> DataFrame:
