@@ -72,14 +72,17 @@ def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, f
     """Features with a weight, in ascending order, their weights, and the bias."""
     if not any(y for _, y in rows):
         return np.zeros(0, np.uint32), np.zeros(0), -20.0
-    names, at, texts_ = np.unique(np.concatenate([x for x, _ in rows]), return_inverse=True, return_counts=True)
-    ptr = np.r_[0, np.cumsum([len(x) for x, _ in rows])]
-    often = texts_ >= LEAST_TEXTS
+    # Sorted in place, and only features of enough texts get a number: the driver holds the sample once more, not several times.
+    seen = np.concatenate([x for x, _ in rows])
+    seen.sort()
+    first = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
+    names = seen[first[np.diff(np.r_[first, len(seen)]) >= LEAST_TEXTS]]
+    del seen, first
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     own = []
-    for k in range(len(rows)):
-        x = at[ptr[k] : ptr[k + 1]]
-        own.append(np.r_[x[often[x]], len(names)])
+    for x, _ in rows:
+        at = np.minimum(np.searchsorted(names, x), max(0, len(names) - 1))
+        own.append(np.r_[at[names[at] == x] if len(names) else np.zeros(0, np.int64), len(names)].astype(np.int32))
     rng = np.random.default_rng(11)
     l1 = np.full(len(names) + 1, L1)
     l1[-1] = 0
