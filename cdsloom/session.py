@@ -9,6 +9,7 @@ from datetime import UTC, datetime
 from functools import lru_cache
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from cdsloom.operators import certainty as C
@@ -108,8 +109,12 @@ class Session:
         return tree(name, self._lookup, known_truncated=self.known_truncated, **options)
 
     def inventory(self, dictionary: DataFrame | None = None) -> DataFrame:
-        if dictionary is None and self.spark.catalog.tableExists(self.settings.dependencies_table):
-            dictionary = self.spark.table(self.settings.dependencies_table)
+        if dictionary is None:
+            try:
+                dictionary = self.spark.table(self.settings.dependencies_table)
+            except AnalysisException:
+                # The dictionary only adds names; a corpus without one is fine.
+                dictionary = None
         return G.inventory(self.sources, dictionary)
 
     def certainty(self, names: DataFrame | None = None) -> DataFrame:
