@@ -1,14 +1,17 @@
 """License scans by a generalised suffix automaton over the words of licence texts.
 
 A document streams through the automaton, which gives matching statistics: at
-each word the longest run up to it that stands in some template.  Long runs are
-chained, template by template, into covered spans.  A template is found where a
+each word the longest run up to it that stands in some template.  The suffix
+links lead from there to the longest run of every other template's place.  Long
+runs are chained, template by template, into covered spans.  A template is found where a
 chain covers ``COVERED`` of its words.  Words that no template has, and runs
 without three template words in a row, are skipped in numpy; no match can lie there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,6 +75,10 @@ class Automaton:
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
             self.ends[self.link[state]] |= self.ends[state]
         self.ends[0] = set()
+        places = [[(k, t, sequences[k][t] if t < len(sequences[k]) else None) for k, t in sorted(x)] for x in self.ends]
+        #: (template, end, the word after it) of a state's runs, and of those that only its suffix link's runs have.
+        self.places = places
+        self.further = [[x for x in places[self.link[s]] if x[:2] not in self.ends[s]] if s else [] for s in range(len(places))]
 
     def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.next.append(edges)
@@ -103,11 +110,10 @@ class Automaton:
             self.link[new] = self._split(p, self.next[p][symbol], symbol)
         return new
 
-    def matches(self, symbols: list[int], base: int) -> list[tuple[int, int, int]]:
-        """(end, length, state) of runs of ``SHORTEST`` or more that can't be extended to the right; ends count from ``base``."""
-        out, state, n = [], 0, 0
-        for k, symbol in enumerate(symbols):
-            was, had = state, n
+    def _walk(self, symbols: list[int]) -> Iterator[tuple[int, int]]:
+        """After each symbol the state and the length of the longest run up to it."""
+        state, n = 0, 0
+        for symbol in symbols:
             while state and symbol not in self.next[state]:
                 state = self.link[state]
                 n = self.length[state]
@@ -115,10 +121,30 @@ class Automaton:
                 state, n = self.next[state][symbol], n + 1
             else:
                 state, n = 0, 0
+            yield state, n
+
+    def matches(self, symbols: list[int], base: int) -> list[tuple[int, int, int]]:
+        """(end, length, state) of runs of ``SHORTEST`` or more that can't be extended to the right; ends count from ``base``."""
+        out, was, had = [], 0, 0
+        for k, (state, n) in enumerate(self._walk(symbols)):
             if n <= had and had >= SHORTEST:
                 out.append((base + k, had, was))
-        if n >= SHORTEST:
-            out.append((base + len(symbols), n, state))
+            was, had = state, n
+        if had >= SHORTEST:
+            out.append((base + len(symbols), had, was))
+        return out
+
+    def shared(self, symbols: list[int], base: int) -> list[tuple[int, int, int, int]]:
+        """(template, end, template end, length) of all runs of ``SHORTEST`` or more shared with a template that can't be extended there to either side; ends count from ``base``."""
+        out = []
+        for d, (state, n) in enumerate(self._walk(symbols), 1):
+            after = symbols[d] if d < len(symbols) else -1
+            places = self.places[state]
+            while n >= SHORTEST:
+                out += [(k, base + d, t, n) for k, t, symbol in places if symbol != after]
+                places = self.further[state]
+                state = self.link[state]
+                n = self.length[state]
         return out
 
 
@@ -188,9 +214,8 @@ class Scanner:
             for a, b in zip(cut, np.r_[cut[1:], len(at)], strict=False):
                 r = int(row[at[a]])
                 start, end = int(at[a]), int(at[b - 1]) + 3
-                for d, n_, state in self.automaton.matches(seq[start:end].tolist(), start - int(w.ptr[r])):
-                    for k, t in self.automaton.ends[state]:
-                        found.setdefault(r, {}).setdefault(k, []).append((d, t, n_))
+                for k, d, t, n_ in self.automaton.shared(seq[start:end].tolist(), start - int(w.ptr[r])):
+                    found.setdefault(r, {}).setdefault(k, []).append((d, t, n_))
             for r, by in found.items():
                 for k, x in by.items():
                     cover, start, end = chained(x)

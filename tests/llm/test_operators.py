@@ -216,6 +216,35 @@ def test_automaton_against_brute_force():
             assert a.ends[state] == ends
 
 
+def test_runs_of_each_template_against_brute_force():
+    rng = random.Random(5)
+    sequences = [[rng.randint(1, 4) for _ in range(rng.randint(1, 25))] for _ in range(6)]
+    a = licenses.Automaton(sequences)
+    for _ in range(60):
+        doc = [rng.randint(1, 5) for _ in range(60)]
+        want = []
+        for k, s in enumerate(sequences):
+            for d in range(1, len(doc) + 1):
+                for t in range(1, len(s) + 1):
+                    n = next((n for n in range(min(d, t)) if doc[d - 1 - n] != s[t - 1 - n]), min(d, t))
+                    if n >= licenses.SHORTEST and (d == len(doc) or t == len(s) or doc[d] != s[t]):
+                        want.append((k, d + 7, t, n))
+        assert sorted(a.shared(doc, 7)) == sorted(want)
+
+
+def test_licenses_share_passages():
+    lgpl3 = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
+    # The longest run goes on in the first template where the second one's ends.
+    templates = [("a", "p q r s t u v w"), ("b", "x q r s t y z k l m n o")]
+    text = "p q r s t u v w y z k l m n o"
+    import pyarrow as pa
+
+    spans = {licenses.TEMPLATES[k][0]: (a, b, round(s, 3)) for k, a, b, s in licenses.Scanner().scan(pa.array([lgpl3]))[0][2]}
+    assert spans["lgpl"] == (0, 43, 0.955)
+    spans = {templates[k][0]: (a, b, s) for k, a, b, s in licenses.Scanner(templates).scan(pa.array([text]))[0][2]}
+    assert spans == {"a": (0, 8, 1.0), "b": (1, 15, 11 / 12)}
+
+
 def test_blocks():
     page = '<!DOCTYPE html><head><title>T</title><style>p{}</style></head><body><p>One &amp; <b>two</b>\n three<br>four<p>five<ul><li><a href="x>y">six</a><li>seven</ul><script>var x="</p>";</script><!-- no --><div>eight&nbsp;nine <table><tr><td>a<td>b</table>'
     assert [b.text for b in html_text.blocks_of(page)] == ["One & two three four", "five", "six", "seven", "eight nine", "a", "b"]
