@@ -26,14 +26,15 @@ SLICE_BYTES = 1 << 20
 RUN_BLOCKS = 4096
 
 #: Elements whose content is no text, tags that end a block, and tags without an end: fixed values.
-_RAW = "script|style|title|textarea|noscript|template|iframe|xmp|svg|select|object|canvas|math"
-_BLOCK = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html ins legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption label".split())
+_RAW = frozenset("script style title textarea noscript template iframe svg select canvas".split())
+_BLOCK = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html ins legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption label xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of these before it, up to the nearest of the second kind.
 _ENDS = {"p": frozenset({"p"}), "li": frozenset({"li", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "option": frozenset({"option"})}
 _SCOPE = frozenset("article aside blockquote body div dl fieldset footer form header html main nav ol section table ul".split())
 
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?>[^<>"']+|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attr>(?>[^<>"']+|"[^"]*"|'[^']*')*+)>""", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attr>(?>[^<>"']+|"[^"]*"|'[^']*')*+)>""", re.S | re.I)
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in (*_RAW, "xmp")}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -63,7 +64,16 @@ def blocks_of(page: str) -> list[Block]:
             linked.clear()
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    endless: set[str] = set()
+
+    def close(tag: str) -> re.Match | None:
+        """The next end tag; a page is searched in vain once for each name."""
+        found = None if tag in endless else _CLOSE[tag].search(page, at)
+        if not found:
+            endless.add(tag)
+        return found
+
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if links:
@@ -72,6 +82,15 @@ def blocks_of(page: str) -> list[Block]:
         if not m["tag"]:
             continue
         tag = m["tag"].lower()
+        if tag in _RAW:
+            if m["end"] or tag == "svg" and m["attr"].rstrip().endswith("/"):
+                continue
+            # Scripts and styles without an end go on to the page's; what follows other such tags is read.
+            if end := close(tag):
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = len(page)
+            continue
         if tag in _VOID:
             if tag == "hr":
                 flush()
@@ -99,9 +118,13 @@ def blocks_of(page: str) -> list[Block]:
                 break
         if not m["attr"].rstrip().endswith("/"):
             above = stack[-1][1] if stack else ()
-            new = tuple(t for t in _tokens(tag, m["attr"]) if t not in above and t not in ("html", "body"))
+            new = tuple(t for t in _tokens("pre" if tag == "xmp" else tag, m["attr"]) if t not in above and t not in ("html", "body"))
             stack.append((tag, above + new))
             links += tag == "a"
+        if tag == "xmp" and (end := close(tag)):
+            # Tags and references in it are text.
+            parts.append(html.escape(page[at : end.start()]))
+            at = end.start()
     if at < len(page):
         parts.append(page[at:])
     flush()

@@ -251,6 +251,19 @@ def test_blocks():
     assert html_text.blocks_of("") == [] and [b.text for b in html_text.blocks_of("<p>cut <a href='")] != []
 
 
+def test_blocks_after_raw_elements():
+    blocks = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert blocks('<p>a</p><svg class="i"/><p>body text</p>') == ["a", "body text"]
+    assert blocks('<p>a</p><svg-icon name="x"></svg-icon><title-bar></title-bar><p>body text</p>') == ["a", "body text"]
+    for tag in ("svg", "template", "select", "textarea", "noscript", "iframe", "canvas", "title"):
+        assert blocks(f"<p>a</p><{tag}><p>body text</p>") == ["a", "body text"], tag
+        assert blocks(f"<p>a</p><{tag} x='>'>no<b>no</b></{tag} ><p>body text</p><{tag.upper()}>no</{tag}\n x><p>end</p>") == ["a", "body text", "end"], tag
+    assert blocks("<p>a</p><script>var x = '<p>no</p>'") == ["a"] and blocks("<p>a</p><style>p{}") == ["a"]
+    assert blocks("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><math/><p>b</p>") == ["If x=2 holds", "b"]
+    assert blocks('<p>a<object data="f.swf"><param name="q"><p>fall back</p></object><p>b</p>') == ["a", "fall back", "b"]
+    assert blocks("<p>a<xmp><b>x</b> &amp; y</xmp>b<xmp>open <p>c</p>") == ["a", "<b>x</b> &amp; y", "b", "open", "c"]
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(0)
     model = pages_model.Labeller({k: w.astype(np.float64) for k, w in pages_model.Labeller().w.items()})
