@@ -10,6 +10,7 @@ without three template words in a row, are skipped in numpy; no match can lie th
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,27 +149,55 @@ class Automaton:
         return out
 
 
-def chained(found: list[tuple[int, int, int]]) -> tuple[int, int, int]:
-    """Most words of a template that a chain covers, and the span of the document.
+def chains(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """For each match the most words of a template that a chain up to it covers, and the chain's span of the document.
 
-    ``found``: (document end, template end, length).  A chain goes forward in
-    both, with at most ``GAP`` words between two matches; overlaps count once.
+    ``found``: (document end, template end, length), sorted.  A chain goes forward
+    in both, with at most ``GAP`` words between two matches; overlaps count once.
     """
-    found = sorted(found)
-    best: list[tuple[int, int]] = []
-    top = (0, 0, 0)
+    best: list[tuple[int, int, int]] = []
     for k, (d, t, n) in enumerate(found):
         cover, start = n, d - n
         for j in range(k - 1, -1, -1):
             dj, tj, _ = found[j]
-            if dj < d - n - GAP - 400:
+            if dj < d - n - GAP:
                 break
             own = min(n, d - dj, t - tj)
             if own > 0 and d - own - dj <= GAP and t - own - tj <= GAP and best[j][0] + own > cover:
                 cover, start = best[j][0] + own, best[j][1]
-        best.append((cover, start))
-        top = max(top, (cover, start, d), key=lambda x: x[0])
-    return top
+        best.append((cover, start, d))
+    return best
+
+
+def chained(found: list[tuple[int, int, int]], size: int, covered: float) -> list[tuple[int, int, int]]:
+    """All chains that cover ``covered`` of the template's ``size`` words and don't overlap better ones in the document, else the best chain.
+
+    What lies between chosen chains is chained again, till no other chain fits in.
+    """
+    found = sorted(found)
+    longest = max(n for *_, n in found)
+    out: list[tuple[int, int, int]] = []
+    parts = [found]
+    while parts:
+        part = parts.pop()
+        own: list[tuple[int, int]] = []
+        for cover, start, end in sorted((x for x in chains(part) if x[0] / size >= covered), key=lambda x: -x[0]):
+            at = bisect(own, (start, end))
+            if (at == 0 or own[at - 1][1] <= start) and (at == len(own) or end <= own[at][0]):
+                own.insert(at, (start, end))
+                out.append((cover, start, end))
+        if not own:
+            continue
+        ends = [d for d, *_ in part]
+        for a, b in zip([0, *(x for _, x in own)], [*(x for x, _ in own), ends[-1]], strict=True):
+            if b - a >= SHORTEST and (b - a) / size >= covered:
+                # Matches that reach into a chosen chain count with what lies outside.
+                near = part[bisect(ends, a) : bisect(ends, b + longest)]
+                rest = sorted((min(d, b), t - max(0, d - b), min(d, b) - max(d - n, a)) for d, t, n in near)
+                rest = [x for x in rest if x[2] >= SHORTEST]
+                if rest:
+                    parts.append(rest)
+    return sorted(out, key=lambda x: x[1]) or [max(chains(found), key=lambda x: x[0])]
 
 
 class Scanner:
@@ -189,8 +218,11 @@ class Scanner:
     def triple(self, a, b, c):
         return (a * self.base + b) * self.base + c
 
-    def scan(self, text: pa.Array):
-        """For each text: words, base places [(start, label)], template spans [(template, start, end, share)]."""
+    def scan(self, text: pa.Array, covered: float = COVERED):
+        """For each text: words, base places [(start, label)], template spans [(template, start, end, share)].
+
+        A template has the spans of all its chains that cover ``covered`` or more, else that of its best chain.
+        """
         w = words_of(text)
         known = np.array([self.ids.get(x, 0) for x in w.uniq.to_pylist()], np.int64)
         seq = known[w.idx] if len(w.idx) else np.zeros(0, np.int64)
@@ -218,8 +250,7 @@ class Scanner:
                     found.setdefault(r, {}).setdefault(k, []).append((d, t, n_))
             for r, by in found.items():
                 for k, x in by.items():
-                    cover, start, end = chained(x)
-                    out[r][2].append((k, start, end, cover / self.sizes[k]))
+                    out[r][2].extend((k, start, end, cover / self.sizes[k]) for cover, start, end in chained(x, self.sizes[k], covered))
         return out
 
 
@@ -241,7 +272,7 @@ def scanned(docs: DataFrame, *, covered: float = COVERED, doc_id: str = "doc_id"
 
         def f(text_: pa.Array, _) -> list[pa.Array]:
             columns: list[list] = [[] for _ in range(8)]
-            for n, base, spans in scanner.scan(text_):
+            for n, base, spans in scanner.scan(text_, covered):
                 own = [{"label": scanner.labels[k], "start": a, "end": b, "share": s} for k, a, b, s in sorted(spans) if s >= covered]
                 starts = [a for a, _ in base]
                 names = {x for _, x in base}

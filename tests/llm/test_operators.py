@@ -245,6 +245,41 @@ def test_licenses_share_passages():
     assert spans == {"a": (0, 8, 1.0), "b": (1, 15, 11 / 12)}
 
 
+def test_licenses_repeated(spark):
+    long = licenses.TEMPLATES[0][1]
+    cut = long.replace("including without limitation the rights to use", "with rights to use")
+    notice = "Released under the MIT License."
+    # Copies with text between them, next to each other, damaged, and after one that is broken off.
+    texts = [f"{long} code code {cut} {long} {' '.join(long.split()[:30])} {long}", f"{notice} " * 500, long[:60]]
+    n, m = len(long.replace("/", " ").split()), len(cut.replace("/", " ").split())
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = n + 2 + m
+    assert [(s.start, s.end) for s in got[0].spans] == [(0, n), (n + 2, at), (at, at + n), (at + n + 30, at + 2 * n + 30)]
+    assert [s.share for s in got[0].spans].count(1) == 3 and got[0].labels == "mit"
+    # The template 'Licensed under the MIT License' has four of five words of each.
+    assert [(s.start, s.end) for s in got[1].spans if s.share == 1] == [(5 * k, 5 * k + 5) for k in range(500)]
+    assert got[2].spans == [] and got[2].score > 0
+
+
+def test_chains_left_between_chosen_ones():
+    assert licenses.chained([(12, 12, 12), (24, 12, 12), (31, 7, 7)], 12, 0.8) == [(12, 0, 12), (12, 12, 24)]
+    rng = random.Random(6)
+    for _ in range(300):
+        found = []
+        for _ in range(rng.randint(1, 9)):
+            n, d, t = rng.randint(3, 8), rng.randint(8, 50), rng.randint(8, 10)
+            found.append((d, t, n))
+        got = licenses.chained(found, 10, 0.5)
+        assert all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+        best = max(c for c, *_ in licenses.chains(sorted(found)))
+        assert max(c for c, *_ in got) == best
+        if best >= 5:
+            # No single match that is long enough is left between them.
+            assert all(c >= 5 for c, *_ in got)
+            for d, _, n in found:
+                assert n < 5 or any(a < d and d - n < b for _, a, b in got)
+
+
 def test_blocks():
     page = '<!DOCTYPE html><head><title>T</title><style>p{}</style></head><body><p>One &amp; <b>two</b>\n three<br>four<p>five<ul><li><a href="x>y">six</a><li>seven</ul><script>var x="</p>";</script><!-- no --><div>eight&nbsp;nine <table><tr><td>a<td>b</table>'
     assert [b.text for b in html_text.blocks_of(page)] == ["One & two three four", "five", "six", "seven", "eight nine", "a", "b"]
