@@ -125,6 +125,24 @@ def test_quality_ratio_by_hand(spark):
     assert all(abs(got[k] - ratio[g].mean()) < 1e-9 for k, g in enumerate(grams))
 
 
+@pytest.mark.parametrize("broadcast", [10 << 20, -1])
+def test_quality_counts_all_trusted_rows(spark, broadcast):
+    n = 5000
+    docs = spark.createDataFrame([*((k, "a") for k in range(n)), (n, "b"), (0, "b"), (None, "b")], "doc_id long, text string")
+    # Labels of rows that aren't in the table take no places; a row labelled twice counts once.
+    labels = spark.createDataFrame([*((k, 1) for k in range(2 * n) if k != n), (0, 1), (1, 0), (n, 0), (n, None), (None, 1)], "doc_id long, quality int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        ratio = quality.fit(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    a, b = (int(x) % quality.BUCKETS for x in quality.hash_words(["a", "b"]))
+    raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    raw[a], raw[b], target[a], target[b] = n + 1, 4, n + 1, 2
+    assert np.allclose(ratio, np.log(target / target.sum()) - np.log(raw / raw.sum()))
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 5)))
