@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -83,6 +84,21 @@ def test_registers_merge_and_estimate():
     assert abs(j[0] - 800 / 1100) < 0.12
 
 
+def test_estimates_seldom_miss():
+    n = near_dedup.REGISTERS
+    factorial = np.array([math.lgamma(k + 1) for k in range(n + 1)])
+    larger, smaller = (x.ravel() for x in np.meshgrid(np.arange(n + 1), np.arange(n + 1)))
+    larger, smaller = larger[larger + smaller <= n], smaller[larger + smaller <= n]
+    equal = n - larger - smaller
+    # Sets of similarity 0.8 with these shares of both sizes: each count of registers with its probability.
+    for u in (0.5, 0.48, 0.46):
+        got = near_dedup.likeliest(larger, smaller, np.full(len(larger), u), np.full(len(larger), 1 - u))
+        p = lambda x: -math.log1p(-x * (near_dedup.BASE - 1) / near_dedup.BASE) / math.log(near_dedup.BASE)
+        up, down = p(u - (1 - u) * 0.8), p(1 - u - u * 0.8)
+        share = np.exp(factorial[n] - factorial[larger] - factorial[smaller] - factorial[equal] + larger * math.log(up) + smaller * math.log(down) + equal * math.log(1 - up - down))
+        assert abs(share.sum() - 1) < 1e-9 and share[got < 0.8 - near_dedup.SLACK].sum() < 1e-7
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7), (-5, 900)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
