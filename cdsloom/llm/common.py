@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -76,6 +77,35 @@ def drop(*stashed: DataFrame) -> None:
         fs.delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage: Spark deletes the shuffle files of plans that nothing refers to any more.
+
+    Between the steps of a long job; else they lie on disk to its end.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def by_group(batches: Iterable[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches that are sorted by ``key`` (columns of integers without nulls)."""
+    held: list[pa.RecordBatch] = []
+    was = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(c).to_numpy() for c in key]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], 0)) + 1
+        for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            now = tuple(int(c[at]) for c in columns)
+            if held and now != was:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(at, end - at))
+            was = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Deal batches out again, so that each holds about ``most`` bytes of text."""
     for batch in batches:

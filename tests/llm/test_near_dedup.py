@@ -67,8 +67,10 @@ def test_nothing(spark):
     assert near_dedup.linked(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_split_buckets(spark, rows, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+def test_parts_of_groups_and_alike_names(spark, rows, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", 400)
+    monkeypatch.setattr(near_dedup, "LEAST", 50)
+    monkeypatch.setattr(near_dedup, "NAME_BITS", 6)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = near_dedup.linked(docs, words=2, percent=80).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, 2, 80)
