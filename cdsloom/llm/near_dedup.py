@@ -171,8 +171,8 @@ class Twins:
         self.rows = stash(classes.join(again, "node").groupBy("node").agg(F.sort_array(F.collect_list("digest")).alias("alike")), "twins")
 
     def renamed(self, rows: DataFrame) -> DataFrame:
-        place = F.coalesce(F.array_position("alike", F.col("digest")) - 1, F.lit(0))
-        return rows.join(self.rows, "node", "left").withColumn("node", F.col("node").bitwiseXOR(place)).drop("alike", "digest")
+        place = F.array_position("alike", F.col("digest"))
+        return rows.join(self.rows, "node", "left").withColumn("node", F.when(place > 1, F.xxhash64("node", place)).otherwise(F.col("node"))).drop("alike", "digest")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
