@@ -180,11 +180,12 @@ def test_topk(spark, rows):
     v = rng.normal(size=(rows, 64)).astype("f4")
     v[rows // 2 :] = v[: rows - rows // 2] * rng.choice([1, 1, 1, 1, -1], (rows - rows // 2, 64))
     v[: rows // 4] = v[:1]
-    data = [(k * 5, x.tolist(), 1) for k, x in enumerate(v)] + [(7, None, 1), (None, [1.0] * 64, 1), (9, [1.0], 2)]
+    v[rows // 3 : rows // 3 + 2, 5:9] = [[np.nan, -0.0, 0.0, -np.inf]]
+    data = [(k * 5, x.tolist(), 1) for k, x in enumerate(v)] + [(7, None, 1), (None, [1.0] * 64, 1), (9, [None] * 64, 2)]
     got = topk.nearest(topk.sign_codes(spark.createDataFrame(data, "vec_id long, embedding array<float>, code int")), k=4).collect()
     want = []
     for q in range(0, rows, 4):
-        near = sorted((int(((v[q] >= 0) != (v[k] >= 0)).sum()), k * 5) for k in range(rows) if k != q)[:4]
+        near = sorted((int(((v[q] < 0) != (v[k] < 0)).sum()), k * 5) for k in range(rows) if k != q)[:4]
         want += [(q * 5, r + 1, i, d) for r, (d, i) in enumerate(near)]
     assert by(map(tuple, got)) == by(want)
 
@@ -194,6 +195,29 @@ def test_topk_split_groups(spark, monkeypatch):
     test_topk(spark, 400)
 
 
+def test_topk_widths(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(300, 32)).astype("f4")
+    vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
+    for segments in (4, 8):
+        got = topk.nearest(topk.sign_codes(vectors, width=32), k=3, width=32, segments=segments).collect()
+        want = [(q, r + 1, i, d) for q in range(0, 300, 20) for r, (d, i) in enumerate(sorted((int(((v[q] < 0) != (v[k] < 0)).sum()), k) for k in range(300) if k != q)[:3])]
+        assert by(map(tuple, got)) == by(want)
+    with pytest.raises(Exception, match="has 32 components, not 64"):
+        topk.sign_codes(vectors).collect()
+    with pytest.raises(ValueError):
+        topk.nearest(topk.sign_codes(vectors), segments=7)
+
+
+def test_radii_cover_all_nearer_codes():
+    rng = np.random.default_rng(1)
+    for step in range(1, 40):
+        r = topk.radii(step, 8)
+        assert sum(x + 1 for x in r) == step and max(r) - min(r) <= 1
+        # A code that no segment finds is further away in each: by ``step`` at least.
+        assert all((x > y for x, y in zip(d, r))) <= (sum(d) >= step) if (d := rng.integers(0, 9, 8).tolist()) else True
+
+
 def test_licenses_base(spark):
     lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     phrases = [(p.split(), x) for p, x in licenses.PHRASES.items()]
