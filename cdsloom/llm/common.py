@@ -170,11 +170,23 @@ def per_row(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 
 def binary_column(pool: bytes | np.ndarray, ptr: np.ndarray, width: int = 1) -> pa.Array:
-    """A binary column out of one buffer: row i is items ``ptr[i]`` to ``ptr[i + 1]`` of ``width`` bytes."""
+    """A binary column out of one buffer: row i is items ``ptr[i]`` to ``ptr[i + 1]`` of ``width`` bytes.
+
+    Arrow's offsets have 31 bits; more bytes in one column are an error, never a wrong column.
+    """
+    if len(ptr) and int(ptr[-1]) * width >= 1 << 31:
+        raise OverflowError(f"{int(ptr[-1]) * width} bytes in one column: a text is too long")
     data = pool if isinstance(pool, bytes) else np.ascontiguousarray(pool)
     return pa.Array.from_buffers(pa.binary(), len(ptr) - 1, [None, pa.py_buffer((ptr * width).astype(np.int32)), pa.py_buffer(data)])
 
 
+def binary_items(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all rows of a binary column without nulls in one array, and where each row's start (one more entry than rows)."""
+    at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data.view(dtype), (at - at[0]) // np.dtype(dtype).itemsize
+
+
 def no_workers_pool() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 

@@ -8,15 +8,14 @@ the missing ones go through the library, many at a time.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from cdsloom.llm.common import Words, csr, no_workers_pool
 
-#: Distinct words in each of the two generations that a worker remembers; longer words aren't remembered.
-CACHED_WORDS, CACHED_CHARS = 150_000, 64
+#: Distinct words that a worker remembers, of so many bytes in all; in Recent in each of two generations, and no longer words.
+CACHED_WORDS, CACHED_BYTES, CACHED_CHARS = 150_000, 16 << 20, 64
 _JOINED_CHARS = 1 << 17
 
 #: Bytes of text to encode at once.
@@ -25,9 +24,9 @@ SLICE_BYTES = 6 << 20
 #: A word of Latin-1 letters and the ASCII punctuation after it.  Such letters
 #: are composed already and have lower case one by one, the two parts are
 #: always tokenized apart, and no special token looks like that.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+_PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 
-_loaded: dict[tuple[str, bool], WordEncoder] = {}
+_loaded: dict[str, WordEncoder] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -76,13 +75,35 @@ class Recent:
             self.young[word] = value
 
 
-class WordEncoder:
-    """Ids below 65536 of texts, for a vocabulary with word ends that drops white space.
+class Known:
+    """The ids of distinct strings, remembered up to a bound: then those of the last call stay."""
+
+    def __init__(self, encode):
+        self.encode = encode
+        self._keep(pa.array([""]), np.zeros(0, "<u2"), np.zeros(1, np.int64))
+
+    def _keep(self, names: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.names, self.ids, self.lens = names, ids, lens
+
+    def places(self, names: pa.Array) -> np.ndarray:
+        """Places of ``names`` in the table, which is extended by those that it hasn't."""
+        if len(self.names) > CACHED_WORDS or self.names.nbytes > CACHED_BYTES:
+            self.__init__(self.encode)
+        at = pc.index_in(names, value_set=self.names)
+        new = names.filter(at.is_null())
+        old = len(self.names)
+        if len(new):
+            ids, lens = self.encode(new.to_pylist())
+            self._keep(pa.concat_arrays([self.names, new]), np.concatenate([self.ids, ids]), np.concatenate([self.lens, lens]))
+        out = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        out[out < 0] = old + np.arange(len(new))
+        return out
 
-    With ``spans``, each word's ids come with the code points that they stand for.
-    """
 
-    def __init__(self, path: str, spans: bool = False):
+class WordEncoder:
+    """Ids below 65536 of texts, for a vocabulary with word ends that drops white space."""
+
+    def __init__(self, path: str):
         no_workers_pool()
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -100,84 +121,61 @@ class WordEncoder:
         self.ends_word = np.zeros(1 << 16, bool)
         for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends_word[k] = token.endswith(suffix)
-        self.spans = spans
-        self.cache = Recent()
+        self.parts, self.others = Known(self._encode_plain), Known(self._encode_any)
 
     @classmethod
-    def of(cls, path: str, spans: bool = False) -> WordEncoder:
-        if (path, spans) not in _loaded:
-            _loaded[path, spans] = cls(path, spans)
-        return _loaded[path, spans]
+    def of(cls, path: str) -> WordEncoder:
+        if path not in _loaded:
+            _loaded[path] = cls(path)
+        return _loaded[path]
 
     @staticmethod
     def forget() -> None:
         """Free the workers' encoders, for a stage that doesn't need them."""
         _loaded.clear()
 
-    def _encode_plain(self, words: list[str]):
-        """(word, ids) of words in lower case that are one piece each."""
-        for group in _joined(words):
-            ids = np.array(self.plain.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u2")
-            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 2).tolist()
-            if len(ends) != len(group):
-                raise ValueError("words and word ends differ")
-            data, at = ids.tobytes(), 0
-            for w, end in zip(group, ends, strict=True):
-                yield w, data[at:end]
-                at = end
-
-    def _encode_any(self, words: list[str]):
-        """(word, ids), or (word, (ids, spans)) if spans are wanted."""
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words in lower case that are one piece each, and how many each has."""
+        found = [e.ids for e in self.plain.encode_batch_fast([" ".join(group) for group in _joined(words)], add_special_tokens=False)]
+        ids = np.concatenate([np.array(x, "<u2") for x in found])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("words and word ends differ")
+        return ids, np.diff(ends, prepend=0)
+
+    def _encode_any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words."""
+        ids, lens = [], []
         for group in _joined(words):
             e = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
-            ids = np.array(e.ids, "<u2").tobytes()
-            spans = np.array(e.offsets, "<i4").reshape(-1, 2)
+            ids.append(np.array(e.ids, "<u2"))
             starts = np.cumsum([0, *(len(w) + 1 for w in group)])
-            cut = np.searchsorted(spans[:, 0], starts)
-            if self.spans:
-                spans = (spans - np.repeat(starts[:-1], np.diff(cut))[:, None]).astype("<i4").tobytes()
-            cut = cut.tolist()
-            for w, a, b in zip(group, cut, cut[1:], strict=False):
-                yield w, (ids[2 * a : 2 * b], spans[8 * a : 8 * b]) if self.spans else ids[2 * a : 2 * b]
-
-    def of_words(self, words: list[str]) -> list:
-        """What each word gives: ids in little-endian 16 bits, with spans a pair of these and 32-bit pairs."""
-        found = self.cache.get_all(words)
-        missing = [k for k, x in enumerate(found) if x is None]
-        if not missing:
-            return found
-        split: list[tuple[int, str, str]] = []
-        others = missing
-        if not self.spans:
-            others = []
-            for k in missing:
-                if m := _PLAIN(words[k]):
-                    split.append((k, m[1].lower(), m[2]))
-                else:
-                    others.append(k)
-        names = list({w for _, core, tail in split for w in (core, tail)} - {""})
-        parts = dict(zip(names, self.cache.get_all(names), strict=True))
-        known = {w for w, ids in parts.items() if ids is not None}
-        for w, ids in self._encode_plain([w for w in names if w not in known]):
-            parts[w] = ids
-            self.cache.put(w, ids)
-        parts[""] = b""
-        for k, core, tail in split:
-            found[k] = parts[core] + parts[tail]
-            if core in known:
-                self.cache.put(words[k], found[k])
-        for k, (w, got) in zip(others, self._encode_any([words[k] for k in others]), strict=True):
-            found[k] = got
-            self.cache.put(w, got)
-        return found
+            lens.append(np.diff(np.searchsorted(np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], starts)))
+        return np.concatenate(ids), np.concatenate(lens)
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words in one array, and how many each has."""
+        split = pc.extract_regex(words, _PLAIN)
+        is_plain = split.is_valid()
+        plain = is_plain.to_numpy(zero_copy_only=False)
+        core, tail = (x.filter(is_plain).dictionary_encode() for x in (pc.utf8_lower(pc.struct_field(split, "core")), pc.struct_field(split, "tail")))
+        places = self.parts.places(pa.concat_arrays([core.dictionary, tail.dictionary]))
+        others = self.others.places(words.filter(pc.invert(is_plain)))
+        # A word is two strings: what stands before the punctuation at its end, and that; place 0 is the empty string.
+        two = np.zeros((len(words), 2), np.int64)
+        two[plain, 0] = places[core.indices.to_numpy()]
+        two[plain, 1] = places[len(core.dictionary) :][tail.indices.to_numpy()]
+        two[~plain, 0] = len(self.parts.lens) + others
+        lens = np.concatenate([self.parts.lens, self.others.lens])
+        at, ends = csr(lens, two.ravel())
+        return np.concatenate([self.parts.ids, self.others.ids])[at], np.diff(ends[::2])
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and where each text's ids start (one more entry than texts)."""
         w = Words(text)
-        ids = self.of_words(w.uniq.to_pylist())
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        ids, lens = self.of_words(w.uniq)
         places, at = csr(lens, w.idx)
-        return np.frombuffer(b"".join(ids), "<u2")[places], at[w.ptr]
+        return ids[places], at[w.ptr]
 
 
 def with_end(ids: np.ndarray, ptr: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cdsloom.llm.common import binary_column, drop, new_path, slices, stash, texts
+from cdsloom.llm.common import binary_column, binary_items, drop, mix, new_path, slices, stash, texts
 from cdsloom.llm.encoders import SLICE_BYTES, WordEncoder, with_end
 
 #: Bits of the longest code word; the decoding table has 2 to this power entries.
@@ -122,15 +123,27 @@ def decode_block(payload: bytes, ids: np.ndarray, lens: np.ndarray) -> np.ndarra
 
 
 def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id, n (ids with the end id), ids (little-endian 16-bit): one row per document."""
+    """doc_id, n (ids with the end id), ids (little-endian 16-bit), place: one row per document; and for each task a row with counts.
+
+    ``place`` tells rows with equal doc_ids apart.  ``counts``, null in documents'
+    rows, has the task's count of each id below 65536.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n", "ids", "place", "counts"]
         encoder = WordEncoder.of(path)
+        counts = np.zeros(1 << 16, np.int64)
+        task, rows = TaskContext.get().partitionId() << 40, 0
         for b in slices(batches, most=SLICE_BYTES):
             ids, ptr = with_end(*encoder.encode(b.column("text")), end)
-            yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(ptr)), binary_column(ids, ptr, 2)], ["doc_id", "n", "ids"])
+            counts += np.bincount(ids, minlength=1 << 16)
+            place = mix(task + rows + np.arange(b.num_rows)).view(np.int64)
+            rows += b.num_rows
+            yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(ptr)), binary_column(ids, ptr, 2), pa.array(place), pa.nulls(b.num_rows, pa.binary())], names)
+        if rows:
+            yield pa.record_batch([pa.array([None], pa.int64()), pa.array([0]), pa.array([b""]), pa.array([0]), pa.array([counts.tobytes()])], names)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, ids binary")
+    return texts(docs).mapInArrow(run, "doc_id long, n long, ids binary, place long, counts binary")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
@@ -139,53 +152,66 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                n += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
+            for x in b.column("counts"):
+                n += np.frombuffer(x.as_buffer(), np.int64)
         seen = np.flatnonzero(n)
         yield pa.record_batch([pa.array(seen), pa.array(n[seen])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("counts").where("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(1 << 16, np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
     return out
 
 
-def write(docs: DataFrame, path: str, *, vocabulary: str, end: int = 1) -> None:
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids per document, ids) of blocks: one ends with the document that brings it to ``most`` ids."""
+    names, sizes, ids, n = [], [], [], 0
+    for b in batches:
+        own, ptr = binary_items(b.column("ids"), "<u2")
+        at = 0
+        while at < b.num_rows:
+            # Up to the first document whose end is ``most`` ids or more from the block's start.
+            end = min(int(np.searchsorted(ptr, ptr[at] + most - n, "left")), b.num_rows)
+            end = max(end, at + 1)
+            names.append(b.column("doc_id").slice(at, end - at))
+            sizes.append(np.diff(ptr[at : end + 1]))
+            ids.append(own[ptr[at] : ptr[end]].copy())
+            n += int(ptr[end] - ptr[at])
+            at = end
+            if n >= most:
+                yield pa.concat_arrays(names), np.concatenate(sizes), np.concatenate(ids)
+                names, sizes, ids, n = [], [], [], 0
+    if names:
+        yield pa.concat_arrays(names), np.concatenate(sizes), np.concatenate(ids)
+
+
+def write(docs: DataFrame, path: str, *, vocabulary: str, end: int = 1, block_ids: int = BLOCK_IDS) -> None:
     """Encode every whole text of ``docs`` (doc_id, text; a null text is empty) and write a store at ``path``.
 
     Documents are written in ascending order of doc_id (nulls first, equal ids
-    next to each other).  An empty table gives a store without blocks.
+    next to each other, dealt to as many tasks as others).  A block ends with the
+    document that brings it to ``block_ids`` ids, so a very long text makes a
+    long block; one of over 2 GB of ids is an error.  An empty table gives a
+    store without blocks.  Other columns are not read.
     """
     spark = docs.sparkSession
     tokens = stash(tokenized(docs, vocabulary, end), "tokens")
-    counts = id_counts(tokens)
-    bits = code_lengths(counts)
+    bits = code_lengths(id_counts(tokens))
     codes = canonical(bits)
     book = [(int(i), int(bits[i])) for i in np.flatnonzero(bits)]
     spark.createDataFrame(book, "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         WordEncoder.forget()
-        block, first, held, names, sizes = 0, 0, [], [], []
-        schema = pa.schema([("block", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
-
-        def full() -> pa.RecordBatch:
-            payload = encode_block(np.concatenate(held), bits, codes)
-            return pa.record_batch([pa.array([x], t) for x, t in zip((block, first, names, sizes, payload), schema.types, strict=True)], schema=schema)
-
-        for b in batches:
-            for doc, x in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                held.append(np.frombuffer(x.as_buffer(), "<u2"))
-                names.append(doc)
-                sizes.append(len(held[-1]))
-                if (n := sum(sizes)) >= BLOCK_IDS:
-                    yield full()
-                    block, first, held, names, sizes = block + 1, first + n, [], [], []
-        if names:
-            yield full()
-
-    blocks = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "block long, first long, doc_ids array<long>, n_ids array<long>, payload binary")
+        first = 0
+        for block, (names, sizes, ids) in enumerate(blocks_of(batches, block_ids)):
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (names, pa.array(sizes, pa.int64()))]
+            yield pa.record_batch([pa.array([block]), pa.array([first]), *lists, pa.array([encode_block(ids, bits, codes)])], ["block", "first", "doc_ids", "n_ids", "payload"])
+            first += len(ids)
+
+    rows = tokens.where("counts is null").select("doc_id", "ids", "place")
+    blocks = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "ids").mapInArrow(run, "block long, first long, doc_ids array<long>, n_ids array<long>, payload binary")
     blocks.select(F.spark_partition_id().alias("part"), "*").write.parquet(f"{path}/blocks")
     drop(tokens)
 
@@ -217,8 +243,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def round_trip(docs: DataFrame, *, vocabulary: str, end: int = 1) -> DataFrame:
+def round_trip(docs: DataFrame, *, vocabulary: str, end: int = 1, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Write a store in the shared folder and read it back."""
     path = new_path(docs.sparkSession, "store")
-    write(docs, path, vocabulary=vocabulary, end=end)
+    write(docs, path, vocabulary=vocabulary, end=end, block_ids=block_ids)
     return read(docs.sparkSession, path)

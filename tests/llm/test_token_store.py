@@ -25,8 +25,9 @@ def expected():
     return [(d, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for d, x in rows]
 
 
-def test_store_round_trip(spark):
-    got = token_store.round_trip(frame(spark), vocabulary=PATH).collect()
+@pytest.mark.parametrize("block_ids", [1, 40, token_store.BLOCK_IDS])
+def test_store_round_trip(spark, block_ids):
+    got = token_store.round_trip(frame(spark), vocabulary=PATH, block_ids=block_ids).collect()
     assert sorted((r.doc_id or -99, np.frombuffer(r.ids, "<u4").tolist()) for r in got) == sorted((d or -99, ids) for d, ids in expected())
     at = 0
     for r in sorted(got, key=lambda r: r.start):
@@ -36,6 +37,47 @@ def test_store_round_trip(spark):
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
 
 
+def test_store_of_many_short_and_equal_rows(spark, tmp_path):
+    n = 200_000
+    docs = spark.range(n).selectExpr("if(id < 150000, 7, id) as doc_id", "if(id % 2 = 0, '', null) as text")
+    token_store.write(docs, str(tmp_path / "store"), vocabulary=PATH)
+    blocks = spark.read.parquet(str(tmp_path / "store/blocks")).collect()
+    # Equal doc_ids are dealt to several parts.
+    assert sum(len(x.doc_ids) for x in blocks) == n and len({x.part for x in blocks if 7 in x.doc_ids}) > 1
+    got = token_store.read(spark, str(tmp_path / "store"))
+    assert got.where("n_tokens = 1 and hex(ids) = '01000000'").select("start").distinct().count() == n
+    assert got.agg({"start": "max"}).first()[0] == n - 1 and got.where("doc_id = 7").count() == 150_000
+
+
+def test_blocks_end_with_documents():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sizes = [rng.integers(0, 9, 50), np.zeros(0, int), np.zeros(7, int), rng.integers(0, 30, 20)]
+    ids = [[rng.integers(0, 60_000, n).astype("<u2") for n in s] for s in sizes]
+    batches = [pa.record_batch([pa.array(range(len(x)), pa.int64()), pa.array([y.tobytes() for y in x], pa.binary())], ["doc_id", "ids"]) for x in ids]
+    want, block = [], []
+    for doc in (y for x in ids for y in x):
+        block.append(doc)
+        if sum(map(len, block)) >= 25:
+            want.append(block)
+            block = []
+    want += [block] if block else []
+    got = list(token_store.blocks_of(batches, 25))
+    assert [s.tolist() for _, s, _ in got] == [[len(y) for y in x] for x in want]
+    assert all((i == np.concatenate(x)).all() for (_, _, i), x in zip(got, want, strict=True))
+
+
+def test_long_text_is_whole(spark):
+    text = "Hello, world 12 "
+    docs = spark.createDataFrame([(1, "a b"), (2, text * 250_000), (3, "x" * 300_000)], "doc_id long, text string")
+    one = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4") for r in token_store.round_trip(docs, vocabulary=PATH).collect()}
+    assert (got[2] == [*one * 250_000, 1]).all() and len(got) == 3
+    pieces = packing.packed(docs, vocabulary=PATH).where("doc_id = 2").orderBy("start").collect()
+    assert (np.concatenate([np.frombuffer(r.ids, "<u4") for r in pieces]) == got[2]).all()
+
+
 def test_store_of_nothing(spark):
     assert token_store.round_trip(frame(spark).limit(0), vocabulary=PATH).collect() == []
 
