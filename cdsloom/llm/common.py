@@ -31,12 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset (a
-    local test session) a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, a local
+    session (driver and executors in one process) gets a temporary folder; on a
+    cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="cdsloom-")
@@ -70,6 +73,24 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of one number each that are broadcast: 16 MB at most.
+SMALL_ROWS = 2_000_000
+
+
+def small(ids: DataFrame, name: str = "ids") -> DataFrame:
+    """``ids`` (one column of numbers) for a join: broadcast where they are counted to be few; beyond that the join is a shuffle, with the same rows."""
+    ids = stash(ids, name)
+    return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A name for a temporary column that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def drop(*stashed: DataFrame) -> None:
     """Delete what stash() wrote, once no plan reads it any more."""
     for df in stashed:

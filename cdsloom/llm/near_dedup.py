@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cdsloom.llm.common import Words, binary_column, by_group, csr, drop, hash_words, mix, per_row, release, slices, stash, texts
+from cdsloom.llm.common import Words, binary_column, by_group, csr, drop, hash_words, mix, per_row, release, slices, small, stash, texts
 from cdsloom.llm.components import components
 
 REGISTERS, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
@@ -356,16 +356,21 @@ def with_partners(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "g long, band int, node long").distinct()
 
 
-def parts(condition: str = "true") -> Column:
-    """Parts that the rows of a group with ``condition`` make."""
-    return F.greatest(F.expr(f"ceil(sum(if({condition}, greatest(n, {LEAST}), 0)) / {PART})"), F.lit(1)).cast("int")
+def weight() -> Column:
+    """What a class counts for in a part of a group."""
+    return F.expr(f"greatest(n, {LEAST})")
+
+
+def parts(total: Column) -> Column:
+    """Parts for rows of this weight in all."""
+    return F.greatest(F.ceil(total / PART), F.lit(1)).cast("int")
 
 
 def around_hubs(hubs: DataFrame, sets: DataFrame) -> DataFrame:
     """The first round's groups: a hub, in all parts of its group, and the classes that chose it."""
     rows = hubs.select(F.col("hub").alias("g"), "node").union(hubs.select(F.col("hub").alias("g"), F.col("hub").alias("node")).distinct())
     rows = rows.join(sets.select("node", "n"), "node")
-    sizes = rows.groupBy("g").agg(parts().alias("parts"))
+    sizes = rows.groupBy("g").agg(parts(F.sum(weight())).alias("parts"))
     home = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     tasks = F.when(F.col("g") == F.col("node"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(home))
     yes = F.lit(True)
@@ -379,10 +384,9 @@ def across_components(rows: DataFrame) -> DataFrame:
     bucket's least one.  Outside rows are compared with all, part against part,
     so that no task has more than two parts; the others stand on one side only.
     """
-    mixed = rows.groupBy("g").agg(F.min("root").alias("main"), F.max("root").alias("other"), parts().alias("p"))
+    each = rows.groupBy("g", "root").agg(F.sum(weight()).alias("w"))
+    mixed = each.groupBy("g").agg(F.min("root").alias("main"), F.max("root").alias("other"), parts(F.sum("w")).alias("p"), parts(F.sum("w") - F.min_by("w", "root")).alias("q"))
     rows = rows.join(mixed.where("main <> other").drop("other"), "g").withColumn("outside", F.expr("root <> main"))
-    sides = rows.groupBy("g").agg(parts("outside").alias("q"))
-    rows = rows.join(sides, "g")
     rows = rows.withColumn("a", F.pmod(F.xxhash64("node"), F.col("p")).cast("int")).withColumn("b", F.pmod(F.xxhash64("node", F.lit(1)), F.col("q")).cast("int"))
     tasks = F.expr("array_distinct(concat(transform(sequence(0, q - 1), x -> a * q + x), if(outside, transform(sequence(0, p - 1), x -> x * q + b), array())))")
     rows = rows.withColumn("task", F.explode(tasks))
@@ -420,7 +424,7 @@ def linked(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_id: str =
     def sets_of(nodes: DataFrame) -> DataFrame:
         """node, n, regs, shingles of classes; each set is made from the text of one document."""
         wanted = classes.join(nodes, "node", "left_semi")
-        own = rows.join(_if_small(wanted.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+        own = rows.join(small(wanted.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
         sets = twins.renamed(full_sets(own, words)).groupBy("node").agg(F.first("shingles").alias("shingles"))
         out = stash(wanted.select("node", "n", "regs").join(sets, "node"), "sets")
         release(spark)
@@ -449,13 +453,3 @@ def linked(docs: DataFrame, *, words: int = 5, percent: int = 80, doc_id: str =
     with_class = twins.renamed(found.where("node is not null")).join(named, "node").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     found = with_class.union(found.where("node is null").select("doc_id", "n_shingles", "doc_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-#: Rows of one number each: 16 MB at most.
-SMALL_ROWS = 2_000_000
-
-
-def _if_small(ids: DataFrame) -> DataFrame:
-    """Broadcast what is counted to be small; beyond that the join is a shuffle, with the same rows."""
-    ids = stash(ids, "ids")
-    return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids

@@ -11,14 +11,16 @@ need no padding.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cdsloom.llm.common import binary_column, slices, texts
+from cdsloom.llm.common import binary_column, mix, slices, texts
 from cdsloom.llm.encoders import SLICE_BYTES, WordEncoder, with_end
 
 SIZE, GROUP_DOCS = 2048, 4096
@@ -107,18 +109,27 @@ def packed(docs: DataFrame, *, vocabulary: str, end: int = 1, size: int = SIZE,
     doc_id, start (the document's tokens before the piece), length, ids
     (little-endian unsigned 32-bit), doc_tokens (with the end id), sequence_id,
     offset (of the piece in its sequence).  A null or empty text is its end id
-    alone; rows that share a doc_id are documents of their own; an empty table
-    gives no pieces.
+    alone; rows that share a doc_id are documents of their own, and rows that
+    repeat both are dealt to different groups like any others; a very long text
+    fills sequences of its own; an empty table gives no pieces; other columns are
+    not read.
     """
-    rows = texts(docs, doc_id=doc_id, text=text)
+    rows = texts(docs, doc_id=doc_id, text=text).select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(20)).alias("hash"))
     groups = max(1, -(-docs.count() // group_docs))
-    dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit(20)), F.lit(groups)).alias("deal"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(vocabulary)
+        # A row's group follows from its content, its partition and how many like it came before: a task that runs again deals alike.
+        task, times = np.uint64(TaskContext.get().partitionId()), Counter()
         for b in slices(batches, most=SLICE_BYTES):
             ids, ptr = with_end(*encoder.encode(b.column("text")), end)
-            yield pa.record_batch([b.column("deal"), b.column("doc_id"), binary_column(ids, ptr, 2)], ["deal", "doc_id", "ids"])
+            hashes = b.column("hash").to_numpy()
+            before = np.zeros(len(hashes), np.uint64)
+            for k, h in enumerate(hashes.tolist()):
+                before[k] = times[h]
+                times[h] += 1
+            deal = (mix(hashes.view(np.uint64) ^ mix(mix(task + np.uint64(1)) + before)) % np.uint64(groups)).astype(np.int64)
+            yield pa.record_batch([pa.array(deal), b.column("doc_id"), binary_column(ids, ptr, 2)], ["deal", "doc_id", "ids"])
 
     def fill(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         docs_ = sorted(((-1 if d is None else d, d, np.frombuffer(x, "<u2")) for d, x in zip(group.column("doc_id").to_pylist(), group.column("ids").to_pylist(), strict=True)), key=lambda x: (x[0], x[2].tobytes()))
@@ -139,4 +150,4 @@ def packed(docs: DataFrame, *, vocabulary: str, end: int = 1, size: int = SIZE,
             }
         )
 
-    return dealt.mapInArrow(cut, "deal long, doc_id long, ids binary").groupBy("deal").applyInArrow(fill, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(cut, "deal long, doc_id long, ids binary").groupBy("deal").applyInArrow(fill, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

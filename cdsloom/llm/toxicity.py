@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cdsloom.llm.common import Words, binary_column, extended, hash_words, mix, picked_labels, slices, texts
+from cdsloom.llm.common import Words, binary_column, drop, extended, hash_words, mix, picked_labels, slices, stash, texts
 
 #: Labelled rows that the model is fitted on, at most: of label 1, and of label 0.
 POSITIVE, NEGATIVE = 2000, 4000
+#: Features of all of them, at most: rows that don't fit in any more are left out of the sample.
+MOST_FEATURES = 16_000_000
 #: Rows whose crc32 of the doc_id's digits has remainder 0 are held out.
 FOLDS = 5
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 8.0, 1.0, 4
@@ -110,9 +112,11 @@ def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, f
     return names[used], w[used], float(w[-1] - middle)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", positive: int = POSITIVE, negative: int = NEGATIVE) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", positive: int = POSITIVE, negative: int = NEGATIVE, features_at_most: int = MOST_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """A model from at most ``positive`` + ``negative`` labelled rows that aren't held out.
 
+    They have ``features_at_most`` features in all; where they would have more, the longest are left out.
+
     A text that is labelled more than once counts as 1 if any label is 1; null
     labels don't count.  Without a row of label 1 every text scores near 0.
     """
@@ -129,11 +133,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
             yield pa.record_batch([b.column("doc_id"), b.column("label"), binary_column(np.concatenate(x), ptr, 4)], ["doc_id", "label", "x"])
 
     own = texts(docs, doc_id=doc_id, text=text).join(chosen, "doc_id").mapInArrow(run, "doc_id long, label int, x binary")
-    rows = own.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).collect()
+    sample = stash(own.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")), "sample")
+    fits = within({r["doc_id"]: r["n"] for r in sample.select("doc_id", F.expr("length(x) div 4").alias("n")).collect()}, features_at_most)
+    rows = sample.join(F.broadcast(spark.createDataFrame([(d,) for d in fits], "doc_id long")), "doc_id").collect()
+    drop(sample)
     rows.sort(key=lambda r: r["doc_id"])
     return train([(np.frombuffer(r["x"], np.uint32), r["label"]) for r in rows])
 
 
+def within(sizes: dict[int, int], most: int) -> list[int]:
+    """The ids of a sample that are taken: smallest first, so long as their sizes add up to ``most`` at most."""
+    out, total = [], 0
+    for d, n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+        total += n
+        if total > most:
+            break
+        out.append(d)
+    return out
+
+
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a column ``score`` from 0 to 1 for each whole text; a null text scores as an empty one."""
     names, weights, bias = model
@@ -171,7 +189,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text
 
         return f
 
-    return extended(docs, f"{score} double", make, text=text)
+    return extended(docs, f"`{score}` double", make, text=text)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,7 +197,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
 
     Empty, null and very long texts are scored like any other, whole.  Rows
     that share a doc_id are scored each; an empty table gives no rows; a row
-    without a doc_id is never held out.
+    without a doc_id is never held out.  Other columns are not read.
     """
     model = fit(docs, labels, doc_id=doc_id, text=text)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))

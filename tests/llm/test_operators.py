@@ -109,7 +109,7 @@ def test_quality_ratio_by_hand(spark):
     texts = ["a b a", "b c", "!! !! d"]
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    ratio = quality.fit(docs, labels)
+    ratio, _ = quality.fit(docs, labels)
     grams = []
     for t in texts:
         h = [int(x) for x in quality.hash_words(t.split())]
@@ -123,6 +123,20 @@ def test_quality_ratio_by_hand(spark):
     assert np.allclose(ratio, np.log(target / target.sum()) - np.log(raw / raw.sum()))
     got = {r.doc_id: r.llr for r in quality.judged(docs, ratio).collect()}
     assert all(abs(got[k] - ratio[g].mean()) < 1e-9 for k, g in enumerate(grams))
+    # Without its own counts in the target, a text scores as if it weren't trusted.
+    got = quality.judged(docs.where("doc_id = 0"), (raw, target)).first().llr
+    for g in grams[:1]:
+        np.add.at(target, g, -1)
+        assert abs(got - (np.log(target / target.sum()) - np.log(raw / raw.sum()))[g].mean()) < 1e-9
+
+
+def test_quality_threshold():
+    rng = np.random.default_rng(3)
+    x = np.sort(rng.normal(size=1000)) / 20
+    bins = dict(zip(*np.unique(np.floor(x / quality.BIN).astype(int), return_counts=True)))
+    want = x[499] - quality.FENCE * (x[499] - x[9])
+    assert abs(quality.fence({int(k): int(n) for k, n in bins.items()}) - want) < 0.02
+    assert quality.fence({}) == -np.inf and quality.fence({7: 1}) == 7 * quality.BIN
 
 
 @pytest.mark.parametrize("broadcast", [10 << 20, -1])
@@ -134,7 +148,7 @@ def test_quality_counts_all_trusted_rows(spark, broadcast):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
-        ratio = quality.fit(docs, labels)
+        ratio, _ = quality.fit(docs, labels)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     a, b = (int(x) % quality.BUCKETS for x in quality.hash_words(["a", "b"]))

@@ -105,27 +105,80 @@ def test_code_is_prefix_free_and_limited(n):
     assert (token_store.decode_block(block, *token_store.decoding_table(bits)) == ids).all()
 
 
-def test_packing(spark):
-    got = packing.packed(frame(spark), vocabulary=PATH, size=64, group_docs=5).collect()
-    want = expected()
-    pieces = {}
-    for r in got:
+def check_pieces(pieces, want, size):
+    """Every id in one piece, sequences without gaps; returns tokens and padded tokens of all sequences."""
+    own, seqs = {}, {}
+    for r in pieces:
         assert r.length == len(r.ids) // 4 > 0
-        pieces.setdefault((r.doc_id, r.doc_tokens), []).append(r)
-    assert sum(r.length for r in got) == sum(len(ids) for _, ids in want)
-    for d, ids in want:
-        own = sorted(pieces[d, len(ids)], key=lambda r: r.start)
-        if d != 2 and len(own) == len({r.start for r in own}):
-            assert np.concatenate([np.frombuffer(r.ids, "<u4") for r in own]).tolist() == ids
-    seqs = {}
-    for r in got:
+        own.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, tuple(np.frombuffer(r.ids, "<u4").tolist())))
         seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    docs = {}
+    for d, ids in want:
+        docs.setdefault((d, len(ids)), []).append(tuple(ids))
+    assert own.keys() == docs.keys()
+    for key, texts in docs.items():
+        # Rows of one doc_id and length can't be told apart: their pieces hold the same ids in all, at the same places.
+        assert sorted((start + k, x) for start, ids in own[key] for k, x in enumerate(ids)) == sorted((k, x) for ids in texts for k, x in enumerate(ids))
+        if len(texts) == 1:
+            assert tuple(x for _, ids in sorted(own[key]) for x in ids) == texts[0]
+    tokens = padded = 0
     for s in seqs.values():
         at = 0
         for offset, n in sorted(s):
             assert offset == at
             at += n
-        assert at == 64 or at & (at - 1) == 0 and at <= 64
+        assert at <= size
+        tokens += at
+        padded += at if at & (at - 1) == 0 else size
+    return tokens, padded
+
+
+def test_packing(spark):
+    got = packing.packed(frame(spark), vocabulary=PATH, size=64, group_docs=5).collect()
+    tokens, padded = check_pieces(got, expected(), 64)
+    assert tokens == sum(len(ids) for _, ids in expected()) == padded
+
+
+def test_packing_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "one two three")] * 3000, "doc_id long, text string").repartition(2)
+    got = packing.packed(docs, vocabulary=PATH, size=64, group_docs=100).collect()
+    ids = Tokenizer.from_file(PATH).encode("one two three", add_special_tokens=False).ids
+    tokens, padded = check_pieces(got, [(1, [*ids, 1])] * 3000, 64)
+    assert tokens == padded == 3000 * (len(ids) + 1)
+    in_group = np.bincount([r.sequence_id >> 32 for r in got])
+    assert len(in_group) == 30 and in_group.max() < 200
+
+
+def test_packing_query(spark):
+    from cdsloom.llm import queries
+
+    small = "/root/testdata/sf0.001"
+    want = {r.doc_id: (r.n_tokens, r.ids) for r in token_store.round_trip(spark.read.parquet(f"{small}/documents.parquet"), vocabulary=PATH).collect()}
+    got = queries.op4_packing(spark, small).collect()
+    seqs = {}
+    for r in got:
+        n, ids = want[r.doc_id]
+        assert r.doc_tokens == n and r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)])
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    used = [sum(n for _, n in s) for s in seqs.values()]
+    total = sum(n for n, _ in want.values())
+    assert sum(used) == total
+    assert all(n == 2048 or n & (n - 1) == 0 for n in used)
+    # As few full sequences as can be, and the rest cut into powers of two.
+    assert used.count(2048) == total // 2048 and len(used) - total // 2048 == (total % 2048).bit_count()
+
+
+def test_packing_by_first_fit_alone_leaves_more(spark):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 2048, 500).tolist()
+    tree, free = packing.FreeSpace(2048, 500), {}
+    for n in sorted(lengths, reverse=True):
+        at = tree.place(n)
+        free[at] = free.get(at, 2048) - n
+    padding = sum(free.values()) / (2048 * len(free))
+    sequences = packing.pack(lengths, 2048)
+    assert sum(n for s in sequences for *_, n in s) == sum(lengths) and 0 < padding < 0.05
+    assert sum(sum(n for *_, n in s) == 2048 for s in sequences) == sum(lengths) // 2048
 
 
 def test_packing_nothing(spark):
