@@ -439,6 +439,8 @@ def test_pipeline(spark):
 
 def test_pipeline_odd_rows(spark):
     docs = frame(spark, [*TEXTS, "some words that are long enough to stay in the end, really " * 1]).unionByName(frame(spark))
+    for name in ("toxicity", "_TOXICITY", "quality", "kept", "_kept", "n", "node", "digest", "regs", "deal", "hash", "label", "trusted"):
+        docs = docs.withColumn(name, docs.doc_id)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SMALL)
         rows = out.collect()
