@@ -49,3 +49,18 @@ def advice_counts(c: DataFrame, most: int = 20) -> DataFrame:
     """(aviso, n): the commonest advisories without what stands behind the dash, ties by text."""
     each = c.where("avisos <> ''").select(F.explode(F.split("avisos", r" \| ")).alias("a"))
     return each.select(F.substring_index("a", " - ", 1).alias("aviso")).groupBy("aviso").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "aviso").limit(most)
+
+
+def by_fields(c: DataFrame) -> DataFrame:
+    """The guaranteed ones, the simplest first."""
+    return guaranteed(c).select("ddlname", "entidade", "tipo", "n_campos").orderBy("n_campos", "ddlname")
+
+
+def counts(c: DataFrame) -> DataFrame:
+    """One row: total, garantidas, com_aviso, falhou."""
+    return c.agg(F.count("*").alias("total"), F.count_if(F.expr("gerou_sql and n_avisos = 0")).alias("garantidas"), F.count_if(F.expr("gerou_sql and n_avisos > 0")).alias("com_aviso"), F.count_if(F.expr("not gerou_sql")).alias("falhou"))
+
+
+def summary(c: DataFrame) -> str:
+    n = counts(c).first()
+    return f"{n['garantidas']:>10,}  without advisories\n{n['com_aviso']:>10,}  with advisories\n{n['falhou']:>10,}  without SQL\n{n['total']:>10,}  in all"

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from datetime import date, datetime
+from decimal import Decimal
+from math import isfinite
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +35,50 @@ class Lowered:
 
 
 def _joined(parts: list[str]) -> str:
-    text = " ".join(p for p in parts if p)
-    text = re.sub(r"\s*\.\s*(?=[A-Za-z_`:*])", ".", text)
-    return text
+    """The parts with a blank between them, but none beside a dot; what is inside a part stays as it is."""
+    out = ""
+    for before, p in zip(["."] + parts, parts, strict=False):
+        out += p if p == "." or before == "." else f" {p}"
+    return out
+
+
+def quoted(value: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r") + "'"
+
+
+def literal(value: object) -> str:
+    """The literal of a parameter's value, of its own type."""
+    match value:
+        case None:
+            return "NULL"
+        case bool():
+            return str(value).upper()
+        case str():
+            return quoted(value)
+        case datetime():
+            return f"TIMESTAMP'{value.isoformat(sep=' ')}'" if value.tzinfo else f"TIMESTAMP_NTZ'{value.isoformat(sep=' ')}'"
+        case date():
+            return f"DATE'{value.isoformat()}'"
+        case Decimal():
+            return f"{value:f}BD"
+        case float():
+            return f"{value!r}D" if isfinite(value) else f"CAST('{value!r}' AS DOUBLE)"
+        case int():
+            return str(value)
+    raise TypeError(f"a parameter can't be a {type(value).__name__}")
+
+
+def named(name: str) -> str:
+    """A name, in back-quotes where Spark wouldn't read it as one without."""
+    return name if name.isascii() and " " not in name else f"`{name}`"
+
+
+def written(t: Token) -> str:
+    """A token as Spark SQL reads it: '' in a literal is a quote, a backslash is itself, odd names stand in back-quotes."""
+    if t.kind == "string":
+        return quoted(t.text[1:-1].replace("''", "'"))
+    return named(t.text) if t.kind == "name" else t.text
 
 
 class Rewriter:
@@ -43,38 +87,60 @@ class Rewriter:
     def __init__(self, view: View, block: Block, lookup: Callable[[str], View | None], parameters: dict[str, object] | None):
         self.view, self.block, self.lookup, self.parameters = view, block, lookup, parameters
         self.known: dict[str, Association] = {a.alias.lower(): a for a in block.associations}
-        self.used: dict[str, tuple[str, Association]] = {}  # alias -> (alias of the source, association)
+        self.used: dict[str, tuple[str, str, Association]] = {}  # by alias in small letters: alias, alias of the source, association
         self.columns: dict[str, str] = {}
         for item in block.items:
             simple = [t.text for t in item.expr]
             if len(simple) == 1 and item.expr[0].kind == "name":
-                self.columns[(item.alias or simple[0]).lower()] = f"{block.alias}.{simple[0]}"
+                self.columns[(item.alias or simple[0]).lower()] = f"{named(block.alias)}.{named(simple[0])}"
             elif len(simple) == 3 and simple[1] == "." and item.expr[2].kind == "name":
-                self.columns[(item.alias or simple[2]).lower()] = ".".join((simple[0], simple[2]))
+                self.columns[(item.alias or simple[2]).lower()] = f"{named(simple[0])}.{named(simple[2])}"
 
     def _use(self, alias: str, at: str, association: Association) -> None:
         if alias.lower() in self.used:
             return
         if association.cardinality and not association.cardinality.endswith("1"):
             self.view.advise(f"association {association.alias} [{association.cardinality}] may repeat rows - {_CHECK}")
-        self.used[alias.lower()] = (at, association)
+        self.used[alias.lower()] = (alias, at, association)
+
+    def _filtered(self, association: Association, inner: list[Token], alias: str) -> tuple[Association, str]:
+        """The association narrowed by what stands in brackets behind it, [1: left outer where f = 'x'], and an alias for it."""
+        cardinality, kind = association.cardinality, association.kind
+        if len(inner) > 1 and inner[1].text == ":":
+            cardinality, inner = inner[0].text, inner[2:]
+        words = [t.low for t in inner[:3]]
+        for start, name in ((["left", "outer"], "left"), (["inner"], "inner")):
+            if words[: len(start)] == start:
+                kind, inner = name, inner[len(start) :]
+        if inner and inner[0].low == "where":
+            inner = inner[1:]
+        narrowed = replace(association, cardinality=cardinality, kind=kind, only=tuple(inner))
+        same = next((a for a, _, x in self.used.values() if x == narrowed), None)
+        return narrowed, same or f"{alias}_{1 + sum(x.alias == association.alias and bool(x.only) for _, _, x in self.used.values())}"
+
+    def _step(self, expr: Expr, k: int, association: Association, alias: str) -> tuple[Association, str, int]:
+        """The association named at token k, and the token after it and its brackets."""
+        if k + 1 < len(expr) and expr[k + 1].text == "[":
+            end = self._closing(expr, k + 1, "[", "]")
+            association, alias = self._filtered(association, list(expr[k + 2 : end]), alias)
+            return association, alias, end + 1
+        return association, alias, k + 1
 
     def _path(self, expr: Expr, k: int) -> tuple[str, int]:
         """A path over associations that starts at token k: its SQL text and the token after it."""
         association = self.known[expr[k].low]
-        alias, source = association.alias, self.block.alias
+        source = self.block.alias
+        association, alias, k = self._step(expr, k, association, association.alias)
         self._use(alias, source, association)
-        k += 1
         while k + 1 < len(expr) and expr[k].text == ".":
-            step = expr[k + 1]
+            name = expr[k + 1]
             target = self.lookup(association.target)
-            more = next((a for b in target.blocks for a in b.associations if a.alias.lower() == step.low), None) if target else None
-            if more is None or k + 3 >= len(expr) + 1 or not (k + 2 < len(expr) and expr[k + 2].text == "."):
-                return f"{alias}.{step.text}", k + 2
-            source, association = alias, more
-            alias = f"{alias}{more.alias}"
+            more = next((a for b in target.blocks for a in b.associations if a.alias.lower() == name.low), None) if target else None
+            if more is None or not (k + 2 < len(expr) and expr[k + 2].text in (".", "[")):
+                return f"{named(alias)}.{written(name)}", k + 2
+            source = alias
+            association, alias, k = self._step(expr, k + 1, more, f"{alias}{more.alias}")
             self._use(alias, source, association)
-            k += 2
         return alias, k
 
     def _cast_type(self, kind: list[Token]) -> str:
@@ -115,7 +181,7 @@ class Rewriter:
                 found = self.columns.get(name.lower())
                 if found is None:
                     self.view.advise(f"$projection.{name} isn't a plain element; {self.block.alias}.{name} is used - {_CHECK}")
-                    found = f"{self.block.alias}.{name}"
+                    found = f"{named(self.block.alias)}.{named(name)}"
                 out.append(found)
                 k += 2
             elif t.low == "$parameters" and after == "." and k + 2 < len(expr):
@@ -127,7 +193,7 @@ class Rewriter:
             elif t.low == "$session":
                 self.view.advise(f"$session needs a value - {_CHECK}")
                 out.append(t.text)
-            elif t.kind == "name" and t.low in self.known and after == "." and (not out or out[-1] != "."):
+            elif t.kind == "name" and t.low in self.known and after in (".", "[") and (not out or out[-1] != "."):
                 text, k = self._path(expr, k)
                 out.append(text)
                 continue
@@ -139,7 +205,7 @@ class Rewriter:
                             break
                 if t.low == "abap" and after == ".":
                     self.view.advise(f"a type of abap is left - {_CHECK}")
-                out.append(t.text)
+                out.append(written(t))
             k += 1
         return _joined(out)
 
@@ -148,14 +214,13 @@ class Rewriter:
             return f":{name}"
         if name not in self.parameters:
             raise ValueError(f"parameter {name} has no value")
-        value = self.parameters[name]
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+        return literal(self.parameters[name])
 
     @staticmethod
-    def _closing(expr: Expr, k: int) -> int:
+    def _closing(expr: Expr, k: int, start: str = "(", end: str = ")") -> int:
         depth = 0
         for i in range(k, len(expr)):
-            depth += (expr[i].text == "(") - (expr[i].text == ")")
+            depth += (expr[i].text == start) - (expr[i].text == end)
             if not depth:
                 return i
         return len(expr)
@@ -181,51 +246,60 @@ def lowered(view: View, lookup: Callable[[str], View | None] = lambda _: None, p
                 if first.low in r.known:
                     low.exposed.append(first.text)
                     continue
-                text = f"{block.alias}.{first.text}"
+                text = f"{named(block.alias)}.{named(first.text)}"
                 name = item.alias or first.text
             else:
                 text = r.sql(item.expr)
                 name = item.alias or (item.expr[-1].text if item.expr[-1].kind == "name" and len(item.expr) > 1 and item.expr[-2].text == "." else text)
             low.items.append((text, name, item.key))
         low.where, low.having = r.sql(block.where), r.sql(block.having)
-        low.group = [f"{block.alias}.{g[0].text}" if len(g) == 1 and g[0].kind == "name" else r.sql(g) for g in block.group]
+        low.group = [f"{named(block.alias)}.{named(g[0].text)}" if len(g) == 1 and g[0].kind == "name" else r.sql(g) for g in block.group]
         for j in block.joins:
             low.joins.append((j.kind, j.target, j.alias, r.sql(j.on)))
         done: set[str] = set()
         while len(done) < len(r.used):
-            for alias, (source, a) in list(r.used.items()):
-                if alias in done:
-                    continue
-                done.add(alias)
-                low.joins.append(("left", a.target, a.alias if source == block.alias else source + a.alias, _on(r, a, source, alias)))
+            for key, (alias, source, a) in list(r.used.items()):
+                if key not in done:
+                    done.add(key)
+                    low.joins.append((a.kind, a.target, alias, _on(r, a, source, alias)))
+        joined = {a.alias.lower() for _, _, a in r.used.values()}
         for a in block.associations:
-            if a.alias.lower() not in r.used and a.alias not in low.exposed:
+            if a.alias.lower() not in joined and a.alias not in low.exposed:
                 view.advise(f"association {a.alias} isn't used and not joined")
         out.append(low)
     return out
 
 
 def _on(r: Rewriter, a: Association, source: str, alias: str) -> str:
-    """The condition of an association as seen from the view that uses it."""
-    if source == r.block.alias:
-        known = r.known.pop(a.alias.lower())
-        text = r.sql(a.on)
-        r.known[a.alias.lower()] = known
-        return text
-    name = source + a.alias
-    out, k = [], 0
-    while k < len(a.on):
-        t = a.on[k]
-        if t.low == "$projection":
-            out.append(source)
-        elif t.low == a.alias.lower() and k + 1 < len(a.on) and a.on[k + 1].text == ".":
-            out.append(name)
-        elif t.kind == "name" and k + 1 < len(a.on) and a.on[k + 1].text == "." and (not out or out[-1] != "."):
-            out.append(source)
+    """The condition of an association under ``alias``, as seen from the view that uses it."""
+    own = source == r.block.alias
+    tokens: list[Token] = []
+    for k, t in enumerate(a.on):
+        first = not k or a.on[k - 1].text != "."
+        dotted = k + 1 < len(a.on) and a.on[k + 1].text == "."
+        if first and dotted and t.low == a.alias.lower():
+            tokens.append(Token("name", alias))
+        elif first and dotted and not own and t.kind == "name":
+            # Of another view's association: $projection and its own alias are what this view calls its source.
+            tokens.append(Token("name", source))
         else:
-            out.append(t.text)
-        k += 1
-    return _joined(out)
+            tokens.append(t)
+    known, r.known = r.known, {}
+    text = r.sql(tuple(tokens)) if own else _joined([written(t) for t in tokens])
+    if a.only:
+        # Bare names in brackets are the target's.
+        inner = []
+        for k, t in enumerate(a.only):
+            beside = k and a.only[k - 1].text == "." or k + 1 < len(a.only) and a.only[k + 1].text in (".", "(")
+            inner += [Token("name", alias), Token("sign", "."), t] if t.kind == "name" and not beside and t.low not in _WORDS else [t]
+        only = r.sql(tuple(inner))
+        text = f"({text}) AND ({only})" if text else only
+    r.known = known
+    return text
+
+
+#: Words of conditions, which aren't names of elements: fixed values.
+_WORDS = frozenset("and or not is null like in between escape case when then else end true false as".split())
 
 
 Reader = Callable[[str], DataFrame]
@@ -235,6 +309,8 @@ def frame(view: View, read: Reader, lookup: Callable[[str], View | None] = lambd
     """The DataFrame of a view; ``read`` gives the DataFrame of a name that it selects from."""
     if not view.parsed:
         raise ValueError(f"{view.name} has no plan: {'; '.join(view.advisories) or 'nothing parsed'}")
+    if view.left_out:
+        raise ValueError(f"{view.name} isn't run: {', '.join(view.left_out)} would be left out")
     result: DataFrame | None = None
     for low in lowered(view, lookup, parameters):
         b = low.source
@@ -283,9 +359,9 @@ def body(view: View, full: Callable[[str], str], lookup: Callable[[str], View |
         lines = ["SELECT DISTINCT" if b.distinct else "SELECT"]
         for k, (e, n, key) in enumerate(low.items):
             lines.append(f"  {e} AS `{n}`" + ("," if k < len(low.items) - 1 else "") + ("  -- key" if key else ""))
-        lines.append(f"FROM {full(b.base)} AS {b.alias}")
+        lines.append(f"FROM {full(b.base)} AS {named(b.alias)}")
         for kind, target, alias, on in low.joins:
-            lines.append(f"{_JOIN_SQL[kind]} {full(target)} AS {alias}" + (f" ON {on}" if kind != "cross" else ""))
+            lines.append(f"{_JOIN_SQL[kind]} {full(target)} AS {named(alias)}" + (f" ON {on}" if kind != "cross" else ""))
         if low.where:
             lines.append(f"WHERE {low.where}")
         if low.group:

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from functools import lru_cache
+from functools import cached_property
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cdsloom.operators import certainty as C
 from cdsloom.operators import graph as G
-from cdsloom.operators.tree import Tree, tree
+from cdsloom.operators import metrics as M
+from cdsloom.operators.tree import Tree, below, tree
 from cdsloom.plans import guard
-from cdsloom.plans.compile import frame, statement
+from cdsloom.plans.compile import frame, statement, validated
 from cdsloom.plans.names import Resolver, Settings, cleaned, folder
 from cdsloom.plans.syntax import View, parse
 from cdsloom.sources import corpus as S
@@ -31,6 +33,8 @@ class Result:
     tree: Tree | None = None
     advisories: list[str] = field(default_factory=list)
     df: DataFrame | None = None
+    #: Whether Spark could analyse it; None: not asked.
+    analysed: bool | None = None
 
     @property
     def generated(self) -> bool:
@@ -38,59 +42,94 @@ class Result:
 
     @property
     def guaranteed(self) -> bool:
-        return self.generated and not self.advisories
+        """SQL without advisories that Spark, where it was asked, can analyse."""
+        return self.generated and not self.advisories and self.analysed is not False
 
     def seal(self) -> str:
-        return "not found" if not self.found else "not generated" if not self.generated else f"{len(self.advisories)} advisories" if self.advisories else "clean"
+        if not self.found or not self.generated:
+            return "not generated" if self.found else "not found"
+        if self.analysed is False:
+            return "not analysed"
+        return f"{len(self.advisories)} advisories" if self.advisories else "clean"
 
 
 class Session:
     """``sources``: a corpus table (ddlname, source or ddlsource, as4local) or {name: source}.
 
     ``tables``: gives the DataFrame of a table that a view reads; without it views are translated, not run.
+    Views are found by source name, and by entity name through the corpus's alias map; what a
+    call needs is fetched level by level, a Spark job for all names of a level.
     """
 
+    #: Parsed views that are remembered; they are fetched again beyond that.
+    MOST_VIEWS = 20_000
+
     def __init__(self, spark: SparkSession, sources: DataFrame | dict[str, str], *, settings: Settings | None = None, tables: Callable[[str], DataFrame] | None = None, known_truncated=()):
         self.spark, self.settings, self.tables = spark, settings or Settings(), tables
         self.raw = S.in_memory(spark, sources) if isinstance(sources, dict) else S.sources_of(sources)
         self.sources = S.deduplicated(self.raw)
         self.known_truncated = frozenset(n.upper() for n in known_truncated)
-        self._view = lru_cache(maxsize=4096)(self._parsed)
+        self.found: DataFrame | None = None
+        self._views: dict[str, View | None] = {}
+
+    @cached_property
+    def named(self) -> DataFrame:
+        """(alias, ddlname, source): each source under its own name and, where that is free, its entity's; written once."""
+        sources = G.written(self.sources)
+        aliases = G.alias_map(M.classified(M.metrics(sources)))
+        own = sources.select(F.col("ddlname").alias("alias"), "ddlname")
+        others = aliases.join(own.select("alias"), "alias", "left_anti")
+        return G.written(own.union(others.select("alias", "ddlname")).join(sources, "ddlname").select("alias", "ddlname", "source"))
+
+    def _load(self, names: Iterable[str]) -> list[View]:
+        """Parse the sources of names that aren't known yet, in one job; the views of all that have one."""
+        names = list(dict.fromkeys(n.upper().strip() for n in names))
+        if len(self._views) > self.MOST_VIEWS:
+            self._views.clear()
+        new = [n for n in names if n not in self._views]
+        if new:
+            self._views.update(dict.fromkeys(new))
+            for r in self.named.where(F.col("alias").isin(*new)).collect():
+                self._views[r["alias"]] = parse(r["ddlname"], r["source"])
+        return [v for n in names if (v := self._views[n]) is not None]
+
+    def _load_below(self, name: str, associations: bool, depth: int = 15, nodes: int = 4000) -> None:
+        """All views below a name, a job for each level."""
+        level, seen = [name], {name.upper().strip()}
+        for _ in range(depth + 1):
+            views = self._load(level)
+            level = [n for v in views for n in below(v, associations) if (up := n.upper().strip()) not in seen and not seen.add(up)]
+            if not level or len(seen) > nodes:
+                break
+
+    def _lookup(self, name: str) -> View | None:
+        self._load([name])
+        return self._views[name.upper().strip()]
 
     def source(self, name: str) -> str | None:
         row = S.looked_up(self.raw, name).first()
         return row["source"] if row else None
 
     def exists(self, name: str) -> bool:
-        return self._view(name.upper().strip()) is not None
-
-    def _parsed(self, name: str) -> View | None:
-        rows = self.sources.where(self.sources.ddlname == name).take(1)
-        return parse(name, rows[0]["source"]) if rows else None
-
-    def _lookup(self, name: str) -> View | None:
-        """By source name; views name each other by entity, which the inventory's alias map resolves."""
-        return self._view(name.upper().strip()) or (self._view(alias) if (alias := self._alias(name.upper().strip())) else None)
-
-    def _alias(self, name: str) -> str | None:
-        if not hasattr(self, "_aliases"):
-            from cdsloom.operators import metrics as M
-
-            self._aliases = G.alias_map(M.classified(M.metrics(self.sources)))
-        row = self._aliases.where(self._aliases["alias"] == name).first()
-        return row["ddlname"] if row else None
+        return self._lookup(name) is not None
 
     def read(self, name: str, parameters: dict | None = None) -> DataFrame:
         """The rows of a name: a view is compiled into its own plan, so stacked views are one plan."""
+        self._load_below(name, True)
+        return self._read(name, parameters)
+
+    def _read(self, name: str, parameters: dict | None) -> DataFrame:
         view = self._lookup(name)
         if view is None:
             if self.tables is None:
                 raise ValueError(f"no table source for {name}")
             return self.tables(name)
-        return frame(view, lambda n: self.read(n, parameters), self._lookup, parameters)
+        return frame(view, lambda n: self._read(n, parameters), self._lookup, parameters)
 
-    def translate(self, name: str, *, associations: bool = False, depth: int = 15, nodes: int = 4000, with_tree: bool = True, run: bool = False, parameters: dict | None = None, write_to: str | None = None) -> Result:
+    def translate(self, name: str, *, associations: bool = False, depth: int = 15, nodes: int = 4000, with_tree: bool = True, run: bool = False, parameters: dict | None = None, write_to: str | None = None, analyse: bool = False) -> Result:
+        """The SQL of a view, with its tree, its rows (``run``), its files (``write_to``), and whether Spark can analyse it (``analyse``)."""
         name = name.upper().strip()
+        self._load_below(name, True, depth, nodes)
         view = self._lookup(name)
         if view is None:
             return Result(name, False, f"-- {name}: no such source")
@@ -101,24 +140,52 @@ class Session:
             result.tree = self.tree(name, associations=associations, depth=depth, nodes=nodes)
         if run and view.parsed:
             result.df = self.read(name, parameters)
+        if analyse and view.parsed:
+            result.analysed = self._analysed(name, result, parameters)
         if write_to is not None:
             save(result, write_to)
         return result
 
-    def tree(self, name: str, **options) -> Tree:
-        return tree(name, self._lookup, known_truncated=self.known_truncated, **options)
+    def _analysed(self, name: str, result: Result, parameters: dict | None) -> bool:
+        """Over ``tables`` if there are any, else over the catalogue."""
+        if self.tables is None:
+            return validated(self.spark, result.sql)
+        try:
+            self.read(name, parameters).schema  # noqa: B018
+        except (AnalysisException, ParseException, ValueError):
+            return False
+        return True
+
+    def analysed(self, names: Iterable[str], parameters: dict | None = None) -> DataFrame:
+        """(ddlname, garantida, analisada): the third tier of certainty, for names that are given."""
+        results = [self.translate(n, with_tree=False, analyse=True, parameters=parameters) for n in names]
+        return self.spark.createDataFrame([(r.name, r.guaranteed, bool(r.analysed)) for r in results], "ddlname string, garantida boolean, analisada boolean")
+
+    def tree(self, name: str, *, associations: bool = False, depth: int = 15, nodes: int = 4000) -> Tree:
+        """The tree below a name; sources that the inventory found truncated count as such."""
+        self._load_below(name, associations, depth, nodes)
+        known = self.known_truncated
+        if self.found is not None:
+            names = [n for n, v in self._views.items() if v is not None]
+            known |= {r[0] for r in self.found.where((F.col("status_fonte") == "TRUNCADO") & F.col("ddl_up").isin(*names)).select("ddl_up").collect()}
+        return tree(name, self._lookup, known_truncated=known, associations=associations, depth=depth, nodes=nodes)
 
     def inventory(self, dictionary: DataFrame | None = None) -> DataFrame:
+        """The inventory of the corpus; from then on trees and certainty() heed it."""
         if dictionary is None:
             try:
                 dictionary = self.spark.table(self.settings.dependencies_table)
             except AnalysisException:
                 # The dictionary only adds names; a corpus without one is fine.
                 dictionary = None
-        return G.inventory(self.sources, dictionary)
+        self.found = G.written(G.inventory(self.sources, dictionary))
+        return self.found
 
     def certainty(self, names: DataFrame | None = None) -> DataFrame:
-        chosen = self.sources if names is None else self.sources.join(names.select("ddlname"), "ddlname", "left_semi")
+        """Of ``names`` (ddlname); else of those the inventory found apt, or of all if there is none yet."""
+        if names is None and self.found is not None:
+            names = self.found.where("apta").select(F.col("ddl_up").alias("ddlname"))
+        chosen = self.sources if names is None else self.sources.join(names.select(F.upper(F.trim("ddlname")).alias("ddlname")), "ddlname", "left_semi")
         return C.certainty(chosen)
 
     def sql(self, text: str) -> DataFrame:
@@ -159,7 +226,14 @@ def save(result: Result, root: str, *, dry: bool = False) -> dict[str, Path]:
     return {k: path for k, (path, _) in files.items()}
 
 
+def saved(files: dict[str, Path], *, dry: bool = False) -> str:
+    """What save() wrote, or would have."""
+    folder_ = next(iter(files.values())).parent
+    return "\n".join([f"{'not written' if dry else 'written'}: {folder_}", *(f"  {k}: {p.name}" for k, p in files.items())])
+
+
 def export_certainty(certain: DataFrame, folder_: str) -> None:
     """certeza.csv, sorted, and garantidas.txt, the guaranteed names in order; both as folders that Spark writes."""
     certain.orderBy("gerou_sql", "n_avisos", "ddlname", ascending=[False, True, True]).write.mode("overwrite").csv(f"{folder_}/certeza.csv", header=True)
+    # Both are small beside the corpus, and sorted as a whole.
     C.guaranteed(certain).select("ddlname").orderBy("ddlname").write.mode("overwrite").text(f"{folder_}/garantidas.txt")
