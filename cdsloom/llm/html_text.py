@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cdsloom.llm.common import mix, slices
+from cdsloom.llm.common import hash_words, slices
 from cdsloom.llm.pages_model import NUMBERS, PATHS, WORDS, Block, Labeller, trained
 
 SLICE_BYTES = 1 << 20
@@ -54,6 +55,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     links = 0
+    opened: Counter[str] = Counter()
 
     def flush():
         if parts:
@@ -63,6 +65,14 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
             linked.clear()
 
+    def pop(k: int) -> None:
+        """Close all elements from place k of the stack on."""
+        nonlocal links
+        for t, _ in stack[k:]:
+            opened[t] -= 1
+            links -= t == "a"
+        del stack[k:]
+
     at = 0
     endless: set[str] = set()
 
@@ -101,25 +111,22 @@ def blocks_of(page: str) -> list[Block]:
         if tag in _BLOCK:
             flush()
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
+            # An end tag of nothing open is passed over without a search.
+            if opened[tag]:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         ends = _ENDS.get(tag, _ENDS["p"] if tag in _BLOCK else frozenset())
-        for k in range(len(stack) - 1, -1, -1):
+        k = len(stack) - 1
+        while k >= 0 and stack[k][0] not in _SCOPE and any(opened[t] for t in ends):
+            # A row ends the cell in it, an item the paragraph in it.
             if stack[k][0] in ends:
-                links -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                # A row ends the cell in it, an item the paragraph in it.
-                continue
-            if stack[k][0] in _SCOPE:
-                break
+                pop(k)
+            k -= 1
         if not m["attr"].rstrip().endswith("/"):
             above = stack[-1][1] if stack else ()
             new = tuple(t for t in _tokens("pre" if tag == "xmp" else tag, m["attr"]) if t not in above and t not in ("html", "body"))
             stack.append((tag, above + new))
+            opened[tag] += 1
             links += tag == "a"
         if tag == "xmp" and (end := close(tag)):
             # Tags and references in it are text.
@@ -144,20 +151,12 @@ def _path(tokens: tuple[str, ...]) -> np.ndarray:
     return np.array([*out, zlib.crc32(b">" + inner.encode()) % PATHS], np.int64)
 
 
-_INNER = (np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)) - np.uint64(1)
-
-
 def _words(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all blocks' words, by a hash of each word's first eight bytes and its length, and where each block starts."""
-    data = np.frombuffer("\n".join(b.text for b in blocks).lower().encode() + b"\n" + bytes(8), np.uint8)
-    space = (data[:-8] == 32) | (data[:-8] == 10)
-    start = np.flatnonzero(~space & np.r_[True, space[:-1]])
-    end = np.flatnonzero(space & np.r_[False, ~space[:-1]])
-    head = np.lib.stride_tricks.sliding_window_view(data, 8)[start].copy().view("<u8").ravel()
-    size = end - start
-    head = np.where(size < 8, head & _INNER[np.minimum(size, 7)], head)
-    lines = np.r_[0, np.flatnonzero(data[:-8] == 10) + 1]
-    return (mix(head + size.astype(np.uint64)) % np.uint64(WORDS)).astype(np.int64), np.searchsorted(start, lines)
+    """Places of all blocks' words, by a hash of the whole word in lower case, and where each block starts."""
+    lists = pc.split_pattern(pc.utf8_lower(pa.array([b.text for b in blocks])), " ")
+    words = lists.flatten().dictionary_encode()
+    places = (hash_words(words.dictionary.to_pylist()) % np.uint64(WORDS)).astype(np.int64)
+    return places[words.indices.to_numpy()], lists.offsets.to_numpy().astype(np.int64)
 
 
 def encoded(blocks: list[Block]):
@@ -205,7 +204,7 @@ def extracted(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", m
 
     A null or empty page, and one without main text, has an empty text.  Whole
     pages are read whatever their length; rows with one page_id are pages of
-    their own.
+    their own; an empty table gives no rows; other columns are not read.
     """
     weights = trained()
 

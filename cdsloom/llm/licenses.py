@@ -48,6 +48,29 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("lgpl", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("eupl-1.2", "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission subsequent versions of the EUPL (the \"Licence\"); You may not use this work except in compliance with the Licence."),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("wtfpl", "This program is free software. It comes without any warranty, to the extent permitted by applicable law. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2, as published by Sam Hocevar."),
+    ("busl-1.1", "Use of this software is governed by the Business Source License included in the LICENSE file"),
+    ("artistic-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0."),
+    ("cddl-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\"). You may not use this file except in compliance with the License."),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("cc0-1.0", "This work has been marked as dedicated to the public domain under CC0 1.0 Universal."),
+    ("unlicense", "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
 ]
 
 #: Words of the shortest match that is chained, share of a template that a chain covers, words between two matches of a chain.
@@ -67,25 +90,52 @@ class Automaton:
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[set[tuple[int, int]]] = [set()]
+        prefixes: list[tuple[int, int, int]] = []
         for k, sequence in enumerate(sequences):
             last = 0
             for at, symbol in enumerate(sequence):
                 last = self._extend(last, symbol)
-                self.ends[last].add((k, at + 1))
-        for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            self.ends[self.link[state]] |= self.ends[state]
-        self.ends[0] = set()
-        places = [[(k, t, sequences[k][t] if t < len(sequences[k]) else None) for k, t in sorted(x)] for x in self.ends]
-        #: (template, end, the word after it) of a state's runs, and of those that only its suffix link's runs have.
-        self.places = places
-        self.further = [[x for x in places[self.link[s]] if x[:2] not in self.ends[s]] if s else [] for s in range(len(places))]
+                prefixes.append((last, k, at + 1))
+        self._order(prefixes, sequences)
+
+    def _order(self, prefixes: list[tuple[int, int, int]], sequences: list[list[int]]) -> None:
+        """Each prefix's end once, (template, end, the word after it), in the order of the tree of suffix links.
+
+        What ends where a state's runs end then stands in one stretch, and holds
+        the stretches of all states whose links lead to it.
+        """
+        own: list[list[tuple[int, int, int | None]]] = [[] for _ in self.next]
+        below: list[list[int]] = [[] for _ in self.next]
+        for state, k, t in prefixes:
+            own[state].append((k, t, sequences[k][t] if t < len(sequences[k]) else None))
+        for state in range(1, len(self.next)):
+            below[self.link[state]].append(state)
+        self.all: list[tuple[int, int, int | None]] = []
+        self.start, self.end = [0] * len(self.next), [0] * len(self.next)
+        todo = [(0, False)]
+        while todo:
+            state, done = todo.pop()
+            if done:
+                self.end[state] = len(self.all)
+                continue
+            self.start[state] = len(self.all)
+            self.all += own[state]
+            todo.append((state, True))
+            todo += [(x, False) for x in below[state]]
+
+    def places(self, state: int) -> list[tuple[int, int, int | None]]:
+        """(template, end, the word after it) wherever a state's runs end."""
+        return self.all[self.start[state] : self.end[state]]
+
+    def further(self, state: int) -> list[tuple[int, int, int | None]]:
+        """Those of a state's suffix link that aren't its own."""
+        up = self.link[state]
+        return self.all[self.start[up] : self.start[state]] + self.all[self.end[state] : self.end[up]]
 
     def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append(set())
         return len(self.next) - 1
 
     def _split(self, p: int, q: int, symbol: int) -> int:
@@ -140,10 +190,10 @@ class Automaton:
         out = []
         for d, (state, n) in enumerate(self._walk(symbols), 1):
             after = symbols[d] if d < len(symbols) else -1
-            places = self.places[state]
+            places = self.places(state) if n >= SHORTEST else []
             while n >= SHORTEST:
                 out += [(k, base + d, t, n) for k, t, symbol in places if symbol != after]
-                places = self.further[state]
+                places = self.further(state)
                 state = self.link[state]
                 n = self.length[state]
         return out
@@ -265,11 +315,14 @@ def scanned(docs: DataFrame, *, covered: float = COVERED, doc_id: str = "doc_id"
     base labels and those of templates covered by ``covered`` or more; spans
     has these templates' spans in words.  score is 1 with a base label, else
     the largest share covered.  A null or empty text has no words and labels.
+    Texts are scanned whole, whatever their length; rows that repeat a doc_id
+    are documents of their own; an empty table gives no rows; other columns are
+    not read.  The automaton is built once and sent to the tasks; its size is
+    that of the templates.
     """
+    scanner = Scanner()
 
     def make():
-        scanner = Scanner()
-
         def f(text_: pa.Array, _) -> list[pa.Array]:
             columns: list[list] = [[] for _ in range(8)]
             for n, base, spans in scanner.scan(text_, covered):

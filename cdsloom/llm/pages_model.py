@@ -16,6 +16,8 @@ import numpy as np
 
 PATHS, WORDS, PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 2048, 1024, 16, 6, 3, 20
 PAGES, EPOCHS, BATCH, RATE, SEED = 900, 7, 30, 0.01, 5
+#: Steps whose inputs are multiplied at once.
+CHUNK = 1024
 
 
 @dataclass
@@ -46,20 +48,23 @@ class Direction:
     """An LSTM over (time, sequence, feature); a mask of 0 leaves the state as it is."""
 
     @staticmethod
-    def forward(x, mask, wx, wh, b):
+    def forward(x, mask, wx, wh, b, learn=True):
+        """Outputs of all steps, and what backward() needs of each; without ``learn`` nothing is kept for it."""
         steps, n, _ = x.shape
         h, c = np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype)
         hs, keep = np.zeros((steps, n, HIDDEN), x.dtype), []
-        pre = x @ wx + b
         for t in range(steps):
-            z = pre[t] + h @ wh
+            if t % CHUNK == 0:
+                pre = x[t : t + CHUNK] @ wx + b
+            z = pre[t % CHUNK] + h @ wh
             gates = _sigmoid(z[:, : 3 * HIDDEN])
             i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             g = np.tanh(z[:, 3 * HIDDEN :])
             m = mask[t][:, None]
             c_new = f * c + i * g
             tanh = np.tanh(c_new)
-            keep.append((h, c, i, f, o, g, tanh, m))
+            if learn:
+                keep.append((h, c, i, f, o, g, tanh, m))
             c = m * c_new + (1 - m) * c
             h = m * (o * tanh) + (1 - m) * h
             hs[t] = h
@@ -99,21 +104,21 @@ class Labeller:
         paths, words, numbers = blocks
         return np.concatenate([bag(paths, self.w["path"], False), bag(words, self.w["word"], True), numbers], 1)
 
-    def _run(self, flat, lens):
+    def _run(self, flat, lens, learn=True):
         steps, n = int(max(lens)), len(lens)
         seq = np.repeat(np.arange(n), lens)
         at = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
         x, mask = np.zeros((steps, n, flat.shape[1]), flat.dtype), np.zeros((steps, n), flat.dtype)
         x[at, seq], mask[at, seq] = flat, 1.0
         w = self.w
-        hf, kf = Direction.forward(x, mask, w["fx"], w["fh"], w["fb"])
-        hb, kb = Direction.forward(x[::-1], mask[::-1], w["bx"], w["bh"], w["bb"])
+        hf, kf = Direction.forward(x, mask, w["fx"], w["fh"], w["fb"], learn)
+        hb, kb = Direction.forward(x[::-1], mask[::-1], w["bx"], w["bh"], w["bb"], learn)
         top = np.concatenate([hf, hb[::-1], x], 2)[at, seq]
         return _sigmoid((top @ w["out"])[:, 0] + w["bias"]), (x, mask, kf, kb, top, at, seq)
 
     def predict(self, blocks, lens) -> np.ndarray:
         """The probability of each block of being main text."""
-        return self._run(self._inputs(blocks), lens)[0]
+        return self._run(self._inputs(blocks), lens, learn=False)[0]
 
     def gradients(self, blocks, lens, label):
         p, (x, _, kf, kb, top, at, seq) = self._run(self._inputs(blocks), lens)

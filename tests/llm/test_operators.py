@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -268,8 +269,12 @@ def test_automaton_against_brute_force():
         found = a.matches(doc, 0)
         assert {(d, n) for d, n, _ in found} == want
         for d, n, state in found:
-            ends = {(i, k) for i, s in enumerate(sequences) for k in range(n, len(s) + 1) if s[k - n : k] == doc[d - n : d]}
-            assert a.ends[state] == ends
+            ends = [(i, k, s[k] if k < len(s) else None) for i, s in enumerate(sequences) for k in range(n, len(s) + 1) if s[k - n : k] == doc[d - n : d]]
+            assert sorted(a.places(state), key=str) == sorted(ends, key=str)
+            up = a.link[state]
+            assert sorted([*a.places(state), *a.further(state)], key=str) == sorted(a.places(up), key=str)
+    # As many places as prefixes, however often a run repeats.
+    assert len(licenses.Automaton([[1] * 5000]).all) == 5000
 
 
 def test_runs_of_each_template_against_brute_force():
@@ -288,6 +293,48 @@ def test_runs_of_each_template_against_brute_force():
         assert sorted(a.shared(doc, 7)) == sorted(want)
 
 
+def test_licenses_chain_and_score_against_brute_force():
+    rng = random.Random(9)
+    vocabulary = "p q r s t".split()
+    for _ in range(150):
+        template = [rng.choice(vocabulary) for _ in range(rng.randint(4, 9))]
+        doc = [rng.choice([*vocabulary, "z"]) for _ in range(5)] + [w for w in template if rng.random() < 0.9] + [rng.choice(vocabulary) for _ in range(5)]
+        found = sorted((d, t, n) for _, d, t, n in licenses.Automaton([[vocabulary.index(w) + 1 for w in template]]).shared([vocabulary.index(w) + 1 if w != "z" else 9 for w in doc], 0))
+        # The most words that runs of SHORTEST or more cover, in order in both, no more than GAP words apart: over all subsets.
+        best = 0
+        for mask in range(1, 1 << min(len(found), 10)):
+            cover = du = tu = 0
+            last = None
+            good = True
+            for k in (k for k in range(len(found)) if mask >> k & 1):
+                d, t, n = found[k]
+                if last is None:
+                    cover = n
+                else:
+                    own = min(n, d - last[0], t - last[1])
+                    if own <= 0 or d - own - last[0] > licenses.GAP or t - own - last[1] > licenses.GAP:
+                        good = False
+                        break
+                    cover += own
+                last = (d, t)
+            best = max(best, cover if good else 0)
+        if found and len(found) <= 10:
+            assert max(c for c, *_ in licenses.chains(found)) == best
+        import pyarrow as pa
+
+        (_, _, spans), *_ = licenses.Scanner([("x", " ".join(template))]).scan(pa.array([" ".join(doc)]))
+        assert (max((s for *_, s in spans), default=0) == (best / len(template) if found else 0)) or len(found) > 10
+
+
+def test_licenses_whole_notices(spark):
+    notices = [(k, f"intro words {t} more words", x) for k, (x, t) in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(notices, "doc_id long, text string, label string")).collect()}
+    assert all(x in got[k].labels.split(",") and got[k].score == 1 for k, _, x in notices)
+    text = "no licence here at all, " * 200_000 + licenses.TEMPLATES[0][1]
+    (r,) = licenses.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert "mit" in r.labels and r.n_words > 1_000_000 and r.spans[0].start == 1_000_000
+
+
 def test_licenses_share_passages():
     lgpl3 = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
     # The longest run goes on in the first template where the second one's ends.
@@ -376,6 +423,35 @@ def test_labeller_gradients():
         assert abs((up - down) / 2e-4 - g[k][at]) < 1e-3 * max(1, abs(g[k][at])), k
 
 
+def test_odd_pages():
+    import resource
+
+    model = html_text.Labeller(pages_model.trained())
+    main = lambda page: html_text.main_texts(model, [page])[0]
+    paragraph = "Some text of it here, and more of it."
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert main("<article>" + f"<p>{paragraph}</p>" * 60_000 + "</article><footer>c</footer>") == "\n".join([paragraph] * 60_000)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+    # A tag that closes nothing costs no search.
+    began = time.perf_counter()
+    assert html_text.blocks_of("<b>" * 20_000 + "</i>" * 30_000 + "x")[0].text == "x"
+    assert time.perf_counter() - began < 5
+    # Words are told apart by all their letters.
+    a, b = (html_text._words([pages_model.Block(t, ())])[0].tolist() for t in ("advertisement", "advertising"))
+    assert a != b
+
+
+def test_pages_accuracy(spark):
+    """Against the articles' markup, which the labeller doesn't ask for."""
+    raw = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in queries.op9_html_text(spark, "/root/testdata/sf0.1").collect()}
+    right = 0
+    for k, h in raw.items():
+        article = re.search(r"<article>(.*?)(</article>|\Z)", h or "", re.S)
+        right += got[k] == ("\n".join(b.text for b in html_text.blocks_of(article[1])) if article else "")
+    assert right / len(raw) > 0.995
+
+
 def test_pages(spark):
     model, rng = html_text.Labeller(pages_model.trained()), random.Random(1234)
     right = total = 0
