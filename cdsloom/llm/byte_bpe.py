@@ -177,7 +177,11 @@ def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 
 
 def encoded(docs: DataFrame, *, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 16-bit): a row per row of ``docs``; a null text has no ids."""
+    """doc_id, n_tokens, ids (little-endian 16-bit): a row per row of ``docs``, repeated rows too.
+
+    A null or empty text has no ids; a very long one is encoded whole, in a slice
+    of its own; an empty table gives no rows; other columns are not read.
+    """
     return texts(docs, doc_id=doc_id, text=text).mapInArrow(lambda b: encode_batches(b, vocabulary), "doc_id long, n_tokens long, ids binary")
 
 
@@ -187,5 +191,5 @@ def decoded(tokens: DataFrame, *, vocabulary: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, digest, fields: str, *, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """What ``digest`` makes of the batches of decoded(encoded()), in one worker per task."""
+    """What ``digest`` makes of the batches of decoded(encoded()), in one worker per task; the same rows and cases as encoded()."""
     return texts(docs, doc_id=doc_id, text=text).mapInArrow(lambda b: digest(decode_batches(encode_batches(b, vocabulary), vocabulary)), fields)

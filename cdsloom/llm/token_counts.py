@@ -31,6 +31,7 @@ def attributed(docs: DataFrame, *, vocabulary: str, sections: Callable[[np.ndarr
     ``sections`` gives the ascending byte offsets, from 0 on, at which the
     sections of a text start.  A null or empty text is one empty section.  Rows
     that share a doc_id are documents of their own; no rows give no sections.
+    Texts are encoded whole, whatever their length; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -244,7 +244,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, *, vocabulary: str, end: int = 1, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Write a store in the shared folder and read it back."""
+    """Write a store in the shared folder and read it back; the same cases as write()."""
     path = new_path(docs.sparkSession, "store")
     write(docs, path, vocabulary=vocabulary, end=end, block_ids=block_ids)
     return read(docs.sparkSession, path)

@@ -48,6 +48,22 @@ def test_byte_bpe_is_the_librarys(spark):
     assert queries.recoded(frame(spark).limit(0)).collect() == []
 
 
+def test_long_texts(spark):
+    """Whole texts of some MB: what stands at their end counts."""
+    text = "Some words, again and again 12 times. " * 90_000 + "\nlast line <|endoftext|>"
+    docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in byte_bpe.decoded(byte_bpe.encoded(docs, vocabulary=PATH), vocabulary=PATH).collect()}
+    e = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False)
+    assert got[1].decoded == text and np.frombuffer(got[1].ids, "<u2").tolist() == e.ids
+    rows = {r.section: r for r in token_counts.attributed(docs.where("doc_id = 1"), vocabulary=PATH).collect()}
+    assert len(rows) == 2 and rows[0].n_tokens + rows[1].n_tokens == len(e.ids) and rows[1].end == len(text)
+    labels = spark.createDataFrame([(2, 1)], "doc_id long, quality int").selectExpr("*", "0 as toxic")
+    (r,) = quality.verdicts(docs, labels).where("doc_id = 1").collect()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(text)
+    assert toxicity.verdicts(docs, labels).count() == 2
+    assert {r.doc_id: r.component_id for r in near_dedup.linked(docs.union(docs.selectExpr("doc_id + 5", "text")), words=2).collect()} == {1: 1, 6: 1, 2: 2, 7: 2}
+
+
 def test_byte_bpe_random_texts():
     import pyarrow as pa
 
@@ -183,6 +199,61 @@ def test_toxicity(spark):
     assert toxicity.verdicts(docs.limit(0), labels).collect() == []
 
 
+def plain_ftrl(rows):
+    """FTRL-proximal, a coordinate at a time; the last one is the bias, without an L1 penalty."""
+    seen = {}
+    for x, _ in rows:
+        for f in x.tolist():
+            seen[f] = seen.get(f, 0) + 1
+    names = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= toxicity.LEAST_TEXTS))}
+    z, n = [0.0] * (len(names) + 1), [0.0] * (len(names) + 1)
+
+    def weight(i):
+        l1 = 0.0 if i == len(names) else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * l1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(11)
+    for _ in range(toxicity.EPOCHS):
+        for k in order.permutation(len(rows)):
+            x, y = rows[k]
+            own = [names[f] for f in x.tolist() if f in names] + [len(names)]
+            w = [weight(i) for i in own]
+            g = 1 / (1 + np.exp(-max(-30, min(30, sum(w))))) - y
+            for i, v in zip(own, w):
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+                z[i] += g - sigma * v
+                n[i] += g * g
+    return {f: weight(i) for f, i in names.items() if weight(i)}, weight(len(names))
+
+
+def test_training_is_ftrl_and_scores_are_its_sums(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(rng.randint(0, 25))) + rng.choice(["", " vile word", " nasty"]) for _ in range(120)]
+    import pyarrow as pa
+
+    x = list(toxicity.features(pa.array(texts)))
+    rows = [(f, int("vile" in t or "nasty" in t)) for f, t in zip(x, texts)]
+    names, weights, bias = toxicity.train(rows)
+    want, own_bias = plain_ftrl(rows)
+    assert dict(zip(names.tolist(), weights.tolist())) == pytest.approx(want)
+    logit = [own_bias + sum(want.get(f, 0) for f in set(x_.tolist())) for x_ in x]
+    low, high = np.quantile([v for v, (_, y) in zip(logit, rows) if not y], toxicity.QUANTILES[0]), np.quantile([v for v, (_, y) in zip(logit, rows) if y], toxicity.QUANTILES[1])
+    shift = max(low + toxicity.SHARE * (high - low), own_bias + 0.5)
+    assert bias == pytest.approx(own_bias - shift)
+    got = {r.k: r.score for r in toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), (names, weights, bias)).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx([1 / (1 + np.exp(-(v - shift))) for v in logit])
+
+
+def test_training_sample_is_bounded(spark):
+    assert toxicity.within({5: 3, 1: 3, 2: 10, 9: 1}, 7) == [9, 1, 5] and toxicity.within({1: 5}, 4) == []
+    docs = spark.createDataFrame([(k, ("vile " if k % 2 else "kind ") * 3 + "word " * (9 if k < 40 else 0) + " ".join(f"w{j}" for j in range(3000 if k >= 40 else 0))) for k in range(44)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(44)], "doc_id long, toxic int")
+    few, all_ = toxicity.fit(docs, labels, features_at_most=2000), toxicity.fit(docs, labels)
+    assert len(few[0]) and len(all_[0])
+
+
 def test_held_out_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = queries.op7_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
