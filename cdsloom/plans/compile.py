@@ -136,7 +136,10 @@ class Rewriter:
             name = expr[k + 1]
             target = self.lookup(association.target)
             more = next((a for b in target.blocks for a in b.associations if a.alias.lower() == name.low), None) if target else None
-            if more is None or not (k + 2 < len(expr) and expr[k + 2].text in (".", "[")):
+            goes_on = k + 2 < len(expr) and expr[k + 2].text in (".", "[")
+            if more is None and goes_on:
+                self.view.advise(f"{association.target} has no known association {name.text} - {_CHECK}")
+            if more is None or not goes_on:
                 return f"{named(alias)}.{written(name)}", k + 2
             source = alias
             association, alias, k = self._step(expr, k + 1, more, f"{alias}{more.alias}")

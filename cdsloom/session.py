@@ -186,7 +186,7 @@ class Session:
         if names is None and self.found is not None:
             names = self.found.where("apta").select(F.col("ddl_up").alias("ddlname"))
         chosen = self.sources if names is None else self.sources.join(names.select(F.upper(F.trim("ddlname")).alias("ddlname")), "ddlname", "left_semi")
-        return C.certainty(chosen)
+        return C.certainty(chosen, self.named)
 
     def sql(self, text: str) -> DataFrame:
         return guard.read(self.spark, text)
