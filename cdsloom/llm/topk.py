@@ -64,9 +64,13 @@ def radii(step: int, segments: int) -> list[int]:
     return [(step - s + segments - 1) // segments - 1 for s in range(segments)]
 
 
-def growths(step: int, segments: int) -> int:
-    """The next step: all segments at radius 0, all at radius 1, then one segment at a time."""
-    return segments if step < segments else 2 * segments if step < 2 * segments else step + 1
+def growths(step: int, segments: int, bounded: bool) -> int:
+    """The next step: all segments at radius 0, all at radius 1, then one segment at a time.
+
+    While some query knows no kth distance yet (``bounded`` is false), all
+    segments grow at once.
+    """
+    return step + segments if step < 2 * segments or not bounded else step + 1
 
 
 def neighbours(codes: DataFrame, queries: DataFrame, k: int, *, width: int = WIDTH, segments: int = SEGMENTS) -> DataFrame:
@@ -89,9 +93,9 @@ def neighbours(codes: DataFrame, queries: DataFrame, k: int, *, width: int = WID
     base = stash(base.join(sizes, ["segment", "value"]).select("segment", "value", F.pmod(F.xxhash64("code"), "blocks").cast("int").alias("block"), F.lit(0).alias("probe"), "code", "other"), "base")
     pending = stash(queries.select("code").distinct().select("code", F.lit(width).cast("long").alias("bound")), "pending")
     seen = None
-    step = 0
+    step, bounded = 0, False
     while True:
-        now = growths(step, segments)
+        now = min(growths(step, segments, bounded), segments * (bits + 1))
         new = [list(range(a + 1, b + 1)) for a, b in zip(radii(step, segments), radii(now, segments), strict=True)]
         flips = [F.array(*(F.struct(F.lit(s).alias("segment"), F.lit(x).alias("flip")) for r in new[s] for x in masks[r])) for s in range(segments) if new[s]]
         values = F.array(*map(value, range(segments)))
@@ -112,8 +116,10 @@ def neighbours(codes: DataFrame, queries: DataFrame, k: int, *, width: int = WID
         left = stash(left, "pending")
         drop(pending)
         pending = left
-        if min(radii(step, segments)) >= bits or pending.isEmpty():
+        furthest = pending.agg(F.max("bound")).first()[0]
+        if furthest is None or min(radii(step, segments)) >= bits:
             break
+        bounded = furthest < width
     drop(base, sizes, pending)
     rows = seen.join(classes.select(F.col("code").alias("other"), "ids"), "other").select("code", "distance", F.explode("ids").alias("id"))
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("code").orderBy("distance", "id"))).where(f"rank <= {k}")
