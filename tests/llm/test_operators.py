@@ -156,6 +156,50 @@ def test_quality_threshold():
     assert quality.fence({}) == -np.inf and quality.fence({7: 1}) == 7 * quality.BIN
 
 
+def test_quality_threshold_does_its_work():
+    """Few trusted rows have a wide spread; the threshold must not lie below all that a text can score."""
+    good = {k: 1 for k in range(-490, -60, 6)}  # sf0.001 has such scores
+    junk = {k: 1 for k in range(-1680, -1400, 50)}
+    assert quality.fence(good) < -1.68 < -1.4 < quality.cut(good, junk) < -0.49
+    assert quality.cut(good, {}) == quality.cut(good, {-100: 3}) == quality.reach(good) and -1.4 < quality.reach(good) < -0.49
+    # A trusted row that is junk doesn't keep the rest of it in.
+    odd = good | {-1550: 1}
+    assert quality.reach(odd) < -1.68 and -1.4 < quality.cut(odd, junk) < -0.49
+    # A few rows not good among the trusted ones don't draw it there.
+    many = {k: 40 for k in good}
+    assert quality.cut(many, {-1500: 200, -480: 5}) == quality.reach(many)
+    # Wherever the labels decide, no threshold leaves fewer on the wrong side.
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        g = {int(k): int(n) for k, n in zip(rng.integers(-300, 100, 20), rng.integers(1, 9, 20))}
+        b = {int(k): int(n) for k, n in zip(rng.integers(-600, 0, 20), rng.integers(1, 9, 20))}
+        weigh = max(1, sum(b.values()) / sum(g.values()))
+        wrong = lambda t: weigh * sum(n for k, n in g.items() if (k + 0.5) * quality.BIN < t) + sum(n for k, n in b.items() if (k + 0.5) * quality.BIN >= t)  # noqa: B023, E731
+        best, got = min(wrong(k * quality.BIN) for k in range(-601, 102)), quality.cut(g, b)
+        if got != quality.reach(g):
+            assert abs(wrong(got) - best) < 1e-6
+        elif wrong(-9) > best + 1e-6:
+            assert wrong(got) <= best + quality.SLACK * sum(b.values()) + 1e-6
+    assert quality.cut({}, junk) == -np.inf and quality.cut({}, {}) == -np.inf
+
+
+def test_quality_rejects_on_few_documents(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{x}.parquet") for x in ("documents", "labels"))
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [r for r in quality.verdicts(docs, labels).collect() if not r.base_failed]
+    # Without the labels of rows not good the trusted ones decide.
+    alone = [r for r in quality.verdicts(docs, labels.where("quality = 1")).collect() if not r.base_failed]
+    for found in (rows, alone):
+        assert {label.get(r.doc_id) for r in found if r.kept} == {1, None} and len([r for r in found if label.get(r.doc_id) == 0]) == 6
+        assert all(r.kept for r in found if label.get(r.doc_id) == 1)
+    # One trusted row is junk, a table of words with bars: the labels of those not good put the threshold right.
+    odd = 148
+    assert label[odd] == 0 and odd in {r.doc_id for r in rows}
+    told = labels.selectExpr("doc_id", f"if(doc_id = {odd}, 1, quality) as quality")
+    found = [r for r in quality.verdicts(docs, told).collect() if not r.base_failed and label.get(r.doc_id) is not None and r.doc_id != odd]
+    assert all(r.kept == (label[r.doc_id] == 1) for r in found)
+
+
 @pytest.mark.parametrize("broadcast", [10 << 20, -1])
 def test_quality_counts_all_trusted_rows(spark, broadcast):
     n = 5000
