@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cdsloom.llm.common import Words, binary_column, drop, extended, hash_words, mix, picked_labels, slices, stash, texts
+from cdsloom.llm.common import Words, binary_column, binary_items, drop, extended, hash_words, mix, picked_labels, slices, stash, texts
 
 #: Labelled rows that the model is fitted on, at most: of label 1, and of label 0.
 POSITIVE, NEGATIVE = 2000, 4000
@@ -71,16 +71,26 @@ def features(text: pa.Array) -> Iterator[np.ndarray]:
         yield out[out > 0]
 
 
+def frequent(texts_: list[np.ndarray]) -> np.ndarray:
+    """The features of enough texts, in ascending order, from the sorted distinct features of each text.
+
+    They are counted a sixteenth of all hashes at a time, so the sample is not held once more.
+    """
+    cuts = [np.searchsorted(x >> np.uint32(28), np.arange(17, dtype=np.uint32)) for x in texts_]
+    out = [np.zeros(0, np.uint32)]
+    for k in range(16):
+        seen = np.concatenate([out[0], *(x[at[k] : at[k + 1]] for x, at in zip(texts_, cuts, strict=True))])
+        seen.sort()
+        first = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]][: len(seen)])
+        out.append(seen[first[np.diff(np.r_[first, len(seen)]) >= LEAST_TEXTS]])
+    return np.concatenate(out)
+
+
 def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, float]:
     """Features with a weight, in ascending order, their weights, and the bias."""
     if not any(y for _, y in rows):
         return np.zeros(0, np.uint32), np.zeros(0), -20.0
-    # Sorted in place, and only features of enough texts get a number: the driver holds the sample once more, not several times.
-    seen = np.concatenate([x for x, _ in rows])
-    seen.sort()
-    first = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
-    names = seen[first[np.diff(np.r_[first, len(seen)]) >= LEAST_TEXTS]]
-    del seen, first
+    names = frequent([x for x, _ in rows])
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     own = []
     for x, _ in rows:
@@ -117,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
     """A model from at most ``positive`` + ``negative`` labelled rows that aren't held out.
 
     They have ``features_at_most`` features in all; where they would have more, the longest are left out.
+    One task trains on them, and only the model comes to the driver.
 
     A text that is labelled more than once counts as 1 if any label is 1; null
     labels don't count.  Without a row of label 1 every text scores near 0.
@@ -136,10 +147,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
     own = texts(docs, doc_id=doc_id, text=text).join(chosen, "doc_id").mapInArrow(run, "doc_id long, label int, x binary")
     sample = stash(own.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")), "sample")
     fits = within({r["doc_id"]: r["n"] for r in sample.select("doc_id", F.expr("length(x) div 4").alias("n")).collect()}, features_at_most)
-    rows = sample.join(F.broadcast(spark.createDataFrame([(d,) for d in fits], "doc_id long")), "doc_id").collect()
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for b in (b for b in batches if b.num_rows):
+            x, ptr = binary_items(b.column("x"), "u4")
+            rows += [(d, x[s:e], y) for d, s, e, y in zip(b.column("doc_id").to_pylist(), ptr[:-1], ptr[1:], b.column("label").to_pylist(), strict=True)]
+        rows.sort(key=lambda r: r[0])
+        names, weights, bias = train([r[1:] for r in rows])
+        yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (names, weights)] + [pa.array([bias])], ["names", "weights", "bias"])
+
+    rows = sample.join(F.broadcast(spark.createDataFrame([(d,) for d in fits], "doc_id long")), "doc_id").coalesce(1)
+    model = rows.mapInArrow(trained, "names binary, weights binary, bias double").collect()
     drop(sample)
-    rows.sort(key=lambda r: r["doc_id"])
-    return train([(np.frombuffer(r["x"], np.uint32), r["label"]) for r in rows])
+    return (np.frombuffer(model[0]["names"], np.uint32), np.frombuffer(model[0]["weights"]), model[0]["bias"]) if model else train([])
 
 
 def within(sizes: dict[int, int], most: int) -> list[int]:

@@ -298,6 +298,43 @@ def test_training_sample_is_bounded(spark):
     assert len(few[0]) and len(all_[0])
 
 
+def test_only_the_model_comes_to_the_driver(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = [("vile " if k % 2 else "kind ") * 3 + " ".join(f"w{k * 2000 // 3 + j}" for j in range(2000)) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    got, collect = [], type(docs).collect
+
+    def kept(self):
+        rows = collect(self)
+        got.append(sum(len(v) for r in rows for v in r if isinstance(v, bytes | bytearray)))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", kept)
+    names, weights, bias = toxicity.fit(docs, labels)
+    assert sum(got) == names.nbytes + weights.nbytes < 100_000
+    learn = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    want = toxicity.train([(x, k % 2) for k, x in zip(learn, toxicity.features(pa.array([texts[k] for k in learn])))])
+    assert names.tolist() == want[0].tolist() and weights.tolist() == want[1].tolist() and bias == want[2]
+
+
+def test_training_holds_the_sample_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    common = rng.choice(1 << 32, 3000, replace=False).astype(np.uint32)
+    rows = [(np.unique(np.r_[rng.choice(common, 500), rng.integers(0, 1 << 32, 100_000).astype(np.uint32), np.uint32(2**32 - 1 - k // 10)]), k % 2) for k in range(40)]
+    seen, times = np.unique(np.concatenate([x for x, _ in rows]), return_counts=True)
+    assert toxicity.frequent([x for x, _ in rows]).tolist() == seen[times >= toxicity.LEAST_TEXTS].tolist()
+    assert toxicity.frequent([]).tolist() == toxicity.frequent([common[:0]]).tolist() == []
+    tracemalloc.start()
+    toxicity.train(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.5 * sum(x.nbytes for x, _ in rows)
+
+
 def test_held_out_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = queries.op7_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
